@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import words
+from marlstone.session import shared_table
 
 #: 30 blocks of 6 minimum hashes: a pair at similarity 0.7 shares no block with probability
 #: (1 - 0.7^6)^30 = 0.024, one at 0.75 with 0.003, one at 0.8 with 0.0001.
@@ -30,12 +31,13 @@ def word_classes(df: DataFrame, id_col: str, *texts: str, words_in: str, least_w
     """
     sets = F.array_sort(F.array_distinct(F.flatten(F.array(*[words(F.col(t)) for t in texts]))))
     rows = df.where(F.size(F.array_distinct(words(F.col(words_in)))) >= least_words).select(F.col(id_col).alias("id"), sets.alias("w"))
-    return rows.select("id", F.unhex(F.md5(F.array_join("w", " "))).alias("key"), F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"))
+    # written once, since both the classes and their members are made of it; in Parquet the repeated words are stored as dictionary codes
+    return shared_table(rows.select("id", F.unhex(F.md5(F.array_join("w", " "))).alias("key"), F.transform("w", lambda x: F.xxhash64(x)).alias("hashes")), "classed")
 
 
 def representatives(classed: DataFrame) -> DataFrame:
     """(key, cls, hashes): one row a class, named by its least id."""
-    return classed.groupBy("key").agg(F.min("id").alias("cls"), F.first("hashes").alias("hashes"))
+    return shared_table(classed.groupBy("key").agg(F.min("id").alias("cls"), F.first("hashes").alias("hashes")), "classes")
 
 
 def class_members(classed: DataFrame, reps: DataFrame) -> DataFrame:
@@ -98,6 +100,25 @@ def block_rows(reps: DataFrame, blocks: int = BLOCKS, rows: int = ROWS, seed: in
     return reps.select("hashes", "cls", *carry).mapInArrow(run, ddl)
 
 
+def long_sketches(reps: DataFrame, seed: int = 29) -> DataFrame:
+    """(cls, s0, s1): 128 further sketch bits a class, of other hash functions than the blocks'."""
+    schema = pa.schema([("cls", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            off = b.column(0).offsets.to_numpy().astype(np.int64)
+            values = b.column(0).values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)[off[0] : off[-1]]
+            keep = np.flatnonzero(np.diff(off) > 0)
+            if not len(keep):
+                continue
+            bits = (minimum_hashes(values, (off[:-1] - off[0])[keep], 128, seed) & np.uint32(1)).astype(np.uint64)
+            place = np.arange(64, dtype=np.uint64)[:, None]
+            s0, s1 = ((bits[i : i + 64] << place).sum(0, dtype=np.uint64).view(np.int64) for i in (0, 64))
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep)), pa.array(s0), pa.array(s1)], schema=schema)
+
+    return reps.select("hashes", "cls").mapInArrow(run, "cls bigint, s0 bigint, s1 bigint")
+
+
 def posterior_bounds(threshold: float, miss: float, batches: tuple[int, ...] = (16, 32, 48, 64)) -> list[tuple[int, int]]:
     """For each number of compared bits the fewest agreeing ones at which a pair stays in.
 
@@ -135,6 +156,16 @@ def candidate_pairs(rows: DataFrame, threshold: float, bounds: list[tuple[int, i
     return x.join(y, on).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
 
+def pruned_pairs(pairs: DataFrame, reps: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """(a, b): the candidates that also pass the later batches, of 64 and 128 further bits."""
+    sk = long_sketches(reps)
+    one = pairs.join(sk.select(F.col("cls").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1")), "a")
+    two = one.join(sk.select(F.col("cls").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1")), "b")
+    first = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0")))
+    least = dict(bounds)
+    return two.where((first <= 64 - least[64]) & (first + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= 128 - least[128])).select("a", "b")
+
+
 def verified_pairs(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): the pairs whose word sets have at least `threshold` of their union in common."""
     one = pairs.join(reps.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")

@@ -22,10 +22,10 @@ from marlstone.functions.days import utc_day
 from marlstone.functions.urls import record_address
 from marlstone.llm import fingerprints as fp
 from marlstone.llm.neardup import LEAST_WORDS, THRESHOLD
-from marlstone.session import cut
+from marlstone.session import cut, shared_table
 
-#: A pair at the threshold shows this many differing sketch bits or more with probability 0.001.
-MOST_DIFFERENT_BITS = 19
+#: Most differing bits among the first 64, then among 64 and 128 further ones; a pair at the threshold exceeds each with probability 0.001 or less.
+MOST_DIFFERENT_BITS = (19, 19, 32)
 _NEVER = -(2**31)
 
 
@@ -71,18 +71,31 @@ def _merge(old: DataFrame, near: DataFrame) -> DataFrame:
     return old.unionByName(near).groupBy("id").agg(F.min("prior").alias("prior")).select(F.col("prior").alias("prior_rec_id"), F.col("id").alias("rec_id"))
 
 
-def nothing_new(records: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, most_bits: int = MOST_DIFFERENT_BITS) -> DataFrame:
+def nothing_new(records: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, most_bits: tuple[int, int, int] = MOST_DIFFERENT_BITS) -> DataFrame:
     """(prior_rec_id, rec_id): the records of all loads that bring nothing new against the loads before theirs.
 
     The result is that of checking and appending load by load; here all loads are looked up in one pass.
     """
     classed = fp.word_classes(records, "id", "name", "description", words_in="description", least_words=least_words)
-    reps = cut(fp.representatives(classed))
-    members = fp.class_members(classed, reps)
-    links = cut(fp.verified_pairs(fp.candidate_pairs(fp.block_rows(reps), threshold, [(64, 64 - most_bits)]), reps, threshold))
-    slim = records.select("id", "load", "address", "day")
-    known = slim.join(members, "id").groupBy("cls", "load", "address").agg(F.min("id").alias("first"))
-    return _merge(_old_addresses(slim, _by_address(slim)), _other_address(slim, members, links, known))
+    reps = fp.representatives(classed)
+    slim = shared_table(records.select("id", "load", "address", "day"), "records")
+    members = shared_table(fp.class_members(classed, reps), "members")
+    links = shared_table(_links(fp.block_rows(reps), None, reps, threshold, most_bits), "links")
+    # a class without link or second member can't bring a partner
+    linked = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
+    some = linked.unionByName(members.groupBy("cls").agg(F.count("*").alias("m")).where("m > 1").select("cls")).distinct()
+    members = members.join(some, "cls").select("id", "cls")
+    known = shared_table(slim.join(members, "id").groupBy("cls", "load", "address").agg(F.min("id").alias("first")), "known")
+    return _merge(_old_addresses(slim, shared_table(_by_address(slim), "addresses")), _other_address(slim, members, links, known))
+
+
+def _links(rows: DataFrame, old_rows: DataFrame | None, texts: DataFrame, threshold: float, most_bits: tuple[int, int, int]) -> DataFrame:
+    """(a, b, similarity) of the classes behind `rows`, among themselves and, if given, with those behind `old_rows`."""
+    at = [(64, 64 - most_bits[0])]
+    pairs = fp.candidate_pairs(rows, threshold, at)
+    if old_rows is not None:
+        pairs = pairs.unionByName(fp.candidate_pairs(rows, threshold, at, others=old_rows)).distinct()
+    return fp.verified_pairs(fp.pruned_pairs(pairs, texts, [(64, 64 - most_bits[1]), (128, 128 - most_bits[2])]), texts, threshold)
 
 
 class HistoryIndex:
@@ -113,7 +126,7 @@ class HistoryIndex:
     def _write(self, name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(f"{self.folder}/{name}")
 
-    def check(self, records: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, most_bits: int = MOST_DIFFERENT_BITS) -> DataFrame:
+    def check(self, records: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, most_bits: tuple[int, int, int] = MOST_DIFFERENT_BITS) -> DataFrame:
         """(prior_rec_id, rec_id) for one batch (one load number) against what was appended before; then appends the batch."""
         loads = [r.load for r in records.select("load").distinct().limit(2).collect()]
         if len(loads) > 1:
@@ -127,10 +140,8 @@ class HistoryIndex:
         new = fresh.where("was is null").drop("was")
         members = classed.select("id", "key").distinct().join(fresh.select("key", F.coalesce("was", "cls").alias("cls")), "key").select("id", "cls")
         rows = cut(fp.block_rows(new.select("cls", "hashes")))
-        bits = [(64, 64 - most_bits)]
-        pairs = fp.candidate_pairs(rows, threshold, bits).unionByName(fp.candidate_pairs(rows, threshold, bits, others=old["blocks"].select("block", "cls", "n", "sketch"))).distinct()
         texts = old["classes"].select("cls", "hashes").unionByName(new.select("cls", "hashes"))
-        made = cut(fp.verified_pairs(pairs, texts, threshold))
+        made = cut(_links(rows, old["blocks"].select("block", "cls", "n", "sketch"), texts, threshold, most_bits))
         links = made.select("a", "b").unionByName(old["links"].select("a", "b"))
         slim = records.select("id", "load", "address", "day")
         got = cut(_merge(_old_addresses(slim, old["addresses"]), _other_address(slim, members, links, old["members"])))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.days import utc_day
 from marlstone.functions.text import learned_stock_phrases, plain_words, source_key, usable
 from marlstone.functions.urls import record_address, spelled_address
-from marlstone.session import cut, small_rows
+from marlstone.session import cut, shared_table, small_rows
 
 MAX_ROUNDS, TOLERANCE = 8, 0.002
 _UNTRUSTED = 2**31 - 1
@@ -45,47 +45,58 @@ def trust_of(source: Column, registry: DataFrame, bound: int = 1000) -> Column:
 def discover(claims: DataFrame, prior: DataFrame, max_rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """Truth discovery over claims (key, field, value, source, n, first): (supported values, source reliabilities).
 
-    `prior` gives (source, reliability) to begin with; 0.5 where it has none. Values: (key, field, value, first, support, share).
+    `prior` gives (source, reliability) to begin with; 0.5 where it has none. Values: (key, field, first, support), best ones only.
+    A field on which all claims of a key agree supports its sources alike in every round, so such
+    claims are summed up a source once; only contested ones are voted on again.
     """
-    start = claims.select("source").distinct().join(prior, "source", "left").select("source", F.coalesce("reliability", F.lit(0.5)).alias("reliability"))
-    trust = cut(start)
-
-    def vote(trust: DataFrame) -> DataFrame:
+    span = claims.groupBy("key", "field").agg((F.min("value") != F.max("value")).alias("contested"), F.min("first").alias("only"))
+    agreed = span.where("not contested")
+    disputed = shared_table(claims.join(span.where("contested").select("key", "field"), ["key", "field"], "left_semi"), "claims")
+    everything = claims.groupBy("source").agg(F.sum("n").alias("n_all"))
+    in_dispute = disputed.groupBy("source").agg(F.sum("n").alias("n_disputed"))
+    base = everything.join(in_dispute, "source", "left").select("source", "n_all", (F.col("n_all") - F.coalesce("n_disputed", F.lit(0))).alias("n_agreed"))
+    trust = cut(base.join(prior, "source", "left").select("source", "n_all", "n_agreed", F.coalesce("reliability", F.lit(0.5)).alias("reliability")))
+
+    def voted(trust: DataFrame) -> DataFrame:
         w = trust.select("source", (-F.log(1.02 - F.col("reliability"))).alias("w"))
-        return claims.join(w, "source").withColumn("s", F.col("w") * F.log1p("n"))
+        return disputed.join(w, "source").withColumn("s", F.col("w") * F.log1p("n"))
 
     for _ in range(max_rounds):
-        voted = vote(trust)
-        value = voted.groupBy("key", "field", "value").agg(F.sum("s").alias("support"))
-        total = voted.groupBy("key", "field").agg(F.sum("s").alias("total"))
-        share = value.join(total, ["key", "field"]).select("key", "field", "value", (F.col("support") / F.col("total")).alias("share"))
-        nxt = claims.join(share, ["key", "field", "value"]).groupBy("source").agg((F.sum(F.col("share") * F.col("n")) / F.sum("n")).alias("now"))
-        step = cut(trust.join(nxt, "source").select("source", F.greatest(F.lit(0.05), F.least(F.lit(0.98), F.col("now"))).alias("reliability"), F.abs(F.col("now") - F.col("reliability")).alias("moved")))
-        trust = step.select("source", "reliability")
+        v = voted(trust)
+        value = v.groupBy("key", "field", "value").agg(F.sum("s").alias("support"), F.collect_set(F.struct("source", "n")).alias("by"))
+        total = v.groupBy("key", "field").agg(F.sum("s").alias("total"))
+        share = value.join(total, ["key", "field"]).select((F.col("support") / F.col("total")).alias("share"), F.explode("by").alias("c"))
+        won = share.groupBy("c.source").agg(F.sum(F.col("share") * F.col("c.n")).alias("won"))
+        now = F.greatest(F.lit(0.05), F.least(F.lit(0.98), (F.col("n_agreed") + F.coalesce("won", F.lit(0.0))) / F.col("n_all")))
+        step = cut(trust.join(won, "source", "left").select("source", "n_all", "n_agreed", now.alias("reliability"), F.abs(now - F.col("reliability")).alias("moved")))
+        trust = step.drop("moved")
         moved = step.agg(F.max("moved")).collect()[0][0]
         if moved is None or moved < tolerance:
             break
-    voted = vote(trust)
-    values = voted.groupBy("key", "field", "value").agg(F.sum("s").alias("support"), F.min("first").alias("first"))
-    return values, trust
+    values = voted(trust).groupBy("key", "field", "value").agg(F.sum("s").alias("support"), F.min("first").alias("first"))
+    best = values.groupBy("key", "field").agg(F.max(F.struct("support", (-F.col("first")).alias("neg"))).alias("m")).select("key", "field", (-F.col("m.neg")).alias("first"), F.col("m.support").alias("support"))
+    return best.unionByName(agreed.select("key", "field", F.col("only").alias("first"), F.lit(None).cast("double").alias("support"))), trust.select("source", "reliability")
 
 
 def resolve_duplicates(records: DataFrame, fields: dict[str, Column], prefer: list[Column], prior: DataFrame, **params) -> tuple[DataFrame, DataFrame]:
-    """One row a key with two or more records: (key, n, first_id, best_id, fused), and the source reliabilities.
+    """One row a key with two or more records: (key, n, first_id, best_id, fused_<field>...), and the source reliabilities.
 
     `records` has id, key, source and whatever `fields` (value claimed, null for none) and `prefer` (best is largest, nulls
-    last) are made of. `fused` maps each field to the id of the first record that claims its best-supported value.
+    last) are made of. `fused_<field>` holds the id of the first record that claims the best-supported value, and the support, null where
+    all agree.
     """
-    r = records.where("key is not null").select("id", "key", source_key(F.col("source")).alias("source"), F.struct(*[p.alias(f"p{i}") for i, p in enumerate(prefer)]).alias("prefer"), *[F.when(c.isNotNull(), F.xxhash64(c)).alias(f"v_{k}") for k, c in fields.items()])
+    names = list(fields)
+    r = records.select("id", "key", source_key(F.col("source")).alias("source"), F.struct(*[p.alias(f"p{i}") for i, p in enumerate(prefer)]).alias("prefer"), *[F.when(c.isNotNull(), F.xxhash64(c)).alias(f"v{i}") for i, c in enumerate(fields.values())])
+    r = shared_table(r, "keyed").where("key is not null")
     groups = r.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max(F.struct("prefer", (-F.col("id")).alias("neg"))).alias("top")).where("n > 1")
-    groups = cut(groups.select("key", "n", "first_id", (-F.col("top.neg")).alias("best_id")))
-    claim = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"v_{k}").alias("value")) for k in fields]))
-    claims = r.select("id", "key", "source", claim.alias("c")).where("c.value is not null").groupBy("key", F.col("c.field").alias("field"), F.col("c.value").alias("value"), "source").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    claims = cut(claims.join(groups.select("key"), "key", "left_semi"))
-    values, trust = discover(claims, prior, **params)
-    best = values.groupBy("key", "field").agg(F.max(F.struct("support", (-F.col("first")).alias("neg"))).alias("m")).select("key", "field", (-F.col("m.neg")).alias("first"), F.col("m.support").alias("support"))
-    fused = best.groupBy("key").agg(*[F.max(F.when(F.col("field") == k, F.struct("first", "support"))).alias(f"fused_{k}") for k in fields])
-    return groups.join(fused, "key", "left"), trust
+    groups = shared_table(groups.select("key", "n", "first_id", (-F.col("top.neg")).alias("best_id")), "groups")
+    # from here on a group is called by its first id, which is shorter than its key
+    claim = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"v{i}").alias("value")) for i in range(len(names))]))
+    named = r.drop("prefer").join(groups.select("key", "first_id"), "key").select("id", F.col("first_id").alias("g"), "source", claim.alias("c")).where("c.value is not null")
+    claims = shared_table(named.groupBy(F.col("g").alias("key"), F.col("c.field").alias("field"), F.col("c.value").alias("value"), "source").agg(F.count("*").alias("n"), F.min("id").alias("first")), "claims")
+    best, trust = discover(claims, prior, **params)
+    fused = best.groupBy(F.col("key").alias("first_id")).agg(*[F.max(F.when(F.col("field") == i, F.struct("first", "support"))).alias(f"fused_{k}") for i, k in enumerate(names)])
+    return groups.join(fused, "first_id", "left").select("key", "n", "first_id", "best_id", *[f"fused_{k}" for k in names]), trust
 
 
 def catalog_survivors(skills: DataFrame, renames: DataFrame, registry: DataFrame, **params) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import history, neardup, survivors
+from marlstone.llm import bpe, history, language, neardup, survivors
 from marlstone.session import table
 
 
@@ -25,6 +25,17 @@ def p1_source_reliability(spark: SparkSession, d: str) -> DataFrame:
     return trust.select("source", F.round("reliability", 6).alias("reliability"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.relabelled(table(spark, d, "skillsmp"), table(spark, d, "lang_samples")).select("rec_id", "seg_no", "lang")
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every usable description with the language and confidence of each of its segments."""
+    skills, samples = table(spark, d, "skillsmp"), table(spark, d, "lang_samples")
+    rows = language.usable_rows(skills, "rec_id", "description", "desc_lang", "name")
+    return language.segment_languages(rows, language.fit(samples, rows, "lang", "sample", "declared", "description"), "rec_id", "description").drop("declared")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, d, "skillsmp"))
 
@@ -37,5 +48,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return history.nothing_new(history.catalog_records(table(spark, d, "skillsmp"), table(spark, d, "owner_rename")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p1_source_reliability, p5_found, p5_groups, p6_found)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p7_ids, p1_found, p1_survivors, p1_source_reliability, p5_found, p5_groups, p6_found)}
 ORACLES: dict[str, str] = {}

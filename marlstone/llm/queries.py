@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, history, language, neardup, survivors
+from marlstone.llm import bpe, history, language, neardup, spam, survivors
 from marlstone.session import table
 
 
@@ -52,5 +52,9 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p7_ids, p1_found, p1_survivors, p1_source_reliability, p5_found, p5_groups, p6_found)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.stuffed_pages(table(spark, d, "documents"), table(spark, d, "lang_samples")).where(F.col("stuffed_share") > spam.SHARE).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p7_ids, p9_found, p1_found, p1_survivors, p1_source_reliability, p5_found, p5_groups, p6_found)}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, history, language, neardup, spam, survivors
+from marlstone.llm import bpe, history, language, neardup, packing, spam, survivors
 from marlstone.session import table
 
 
@@ -52,9 +52,20 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_containers(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each spec are, against the fewest that could hold the tokens."""
+    boxes = p8_containers(spark, d).groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("parts"))
+    per = boxes.groupBy("spec_id").agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), F.sum("parts").alias("parts"))
+    return per.join(table(spark, d, "pack_specs"), "spec_id").select("spec_id", "capacity", "containers", "tokens", "fullest", "parts", F.ceil(F.col("tokens") / F.col("capacity")).alias("fewest"), F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("fill"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.stuffed_pages(table(spark, d, "documents"), table(spark, d, "lang_samples")).where(F.col("stuffed_share") > spam.SHARE).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p7_ids, p9_found, p1_found, p1_survivors, p1_source_reliability, p5_found, p5_groups, p6_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p7_ids, p8_containers, p8_fill, p9_found, p1_found, p1_survivors, p1_source_reliability, p5_found, p5_groups, p6_found)}
 ORACLES: dict[str, str] = {}

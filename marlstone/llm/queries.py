@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, history, language, neardup, packing, spam, survivors
+from marlstone.functions.urls import record_address
+from marlstone.llm import bpe, history, language, neardup, packing, ranking, spam, survivors
 from marlstone.session import table
 
 
@@ -36,6 +37,20 @@ def p3_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.segment_languages(rows, language.fit(samples, rows, "lang", "sample", "declared", "description"), "rec_id", "description").drop("declared")
 
 
+def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.skill_ranking(table(spark, d, "skillhub"), table(spark, d, "skillsmp"), table(spark, d, "owner_rename"))[0]
+
+
+def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How often the ranking puts the skill first that reviewers found better."""
+    hub, renames = table(spark, d, "skillhub"), table(spark, d, "owner_rename")
+    ranked, _ = ranking.skill_ranking(hub, table(spark, d, "skillsmp"), renames)
+    of = record_address(hub, renames).select("hub_id", "address").join(ranked, "address").select("hub_id", "rank")
+    better, worse = of.select(F.col("hub_id").alias("better_hub_id"), F.col("rank").alias("b")), of.select(F.col("hub_id").alias("worse_hub_id"), F.col("rank").alias("w"))
+    said = table(spark, d, "rank_judgments").join(better, "better_hub_id").join(worse, "worse_hub_id")
+    return said.agg(F.count("*").alias("judgments"), F.round(F.avg((F.col("b") < F.col("w")).cast("double")), 6).alias("agreement"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, d, "skillsmp"))
 
@@ -67,5 +82,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.stuffed_pages(table(spark, d, "documents"), table(spark, d, "lang_samples")).where(F.col("stuffed_share") > spam.SHARE).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p7_ids, p8_containers, p8_fill, p9_found, p1_found, p1_survivors, p1_source_reliability, p5_found, p5_groups, p6_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p4_ranking, p4_agreement, p7_ids, p8_containers, p8_fill, p9_found, p1_found, p1_survivors, p1_source_reliability, p5_found, p5_groups, p6_found)}
 ORACLES: dict[str, str] = {}

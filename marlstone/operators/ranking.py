@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from marlstone.session import shared_table
+
 
 def average_ranks(df: DataFrame, value: str, by: list[str] = (), partitions: int = 64) -> DataFrame:
     """(by..., value, share, above): for each distinct value its mean rank as a share of the rows, between 0 and 1, and the rows
@@ -16,7 +18,8 @@ def average_ranks(df: DataFrame, value: str, by: list[str] = (), partitions: int
     """
     keys = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange(partitions, *keys, value).withColumn("_p", F.spark_partition_id())
+    # written once: the bounds of ranges are sampled, and every use must see the same ones
+    ranged = shared_table(counts.repartitionByRange(partitions, *keys, value).withColumn("_p", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy(*keys, "_p").agg(F.sum("n").alias("m"))
     part = W.partitionBy(*keys)
     before = sizes.select(*keys, "_p", F.coalesce(F.sum("m").over(part.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b"), F.sum("m").over(part).alias("total"))

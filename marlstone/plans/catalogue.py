@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import quality
+from marlstone.plans import core_queries, quality
 
-QUERIES = {**quality.QUERIES}
-ORACLES: dict[str, str] = {}
+QUERIES = {**core_queries.QUERIES, **quality.QUERIES}
+ORACLES: dict[str, str] = {**core_queries.ORACLES}

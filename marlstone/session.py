@@ -46,19 +46,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """`df` written as a table below the shared checkpoint folder and read again: a compressed, columnar cut of the lineage."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path below the shared checkpoint folder; what is written there goes when the session ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "marlstone-checkpoints")
     path = f"{base.rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def shared_table(df: DataFrame, label: str) -> DataFrame:
+    """`df` written as a table below the shared checkpoint folder and read again: a compressed, columnar cut of the lineage."""
+    spark = df.sparkSession
+    path = shared_folder(spark, label)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,15 +17,14 @@ def average_ranks(df: DataFrame, value: str, by: list[str] = (), partitions: int
     the rows before it: no task sees a whole column, and a value that a third of all rows have is one row.
     """
     keys = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
     # written once: the bounds of ranges are sampled, and every use must see the same ones
-    ranged = shared_table(counts.repartitionByRange(partitions, *keys, value).withColumn("_p", F.spark_partition_id()), "ranges")
-    sizes = ranged.groupBy(*keys, "_p").agg(F.sum("n").alias("m"))
+    ranged = shared_table(counts.repartitionByRange(partitions, *keys, "_value").withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_m"))
     part = W.partitionBy(*keys)
-    before = sizes.select(*keys, "_p", F.coalesce(F.sum("m").over(part.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b"), F.sum("m").over(part).alias("total"))
-    own = F.sum("n").over(W.partitionBy(*keys, "_p").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    within = ranged.withColumn("c", own)
-    # before a single range there is nothing: keys and range are few, so this joins a row a range
-    joined = within.join(before, [*keys, "_p"])
-    rank: Column = F.col("b") + F.col("c") - (F.col("n") - 1) / 2
-    return joined.select(*keys, value, ((rank - 0.5) / F.col("total")).alias("share"), (F.col("total") - F.col("b") - F.col("c")).alias("above"))
+    before = sizes.select(*keys, "_range", F.coalesce(F.sum("_m").over(part.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_m").over(part).alias("_total"))
+    own = F.sum("_n").over(W.partitionBy(*keys, "_range").orderBy("_value").rowsBetween(W.unboundedPreceding, 0))
+    joined = ranged.withColumn("_own", own).join(before, [*keys, "_range"])
+    upto = F.col("_before") + F.col("_own")
+    share: Column = (upto - F.col("_n") / 2) / F.col("_total")
+    return joined.select(*keys, F.col("_value").alias(value), share.alias("share"), (F.col("_total") - upto).alias("above"))

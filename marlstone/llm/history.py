@@ -56,12 +56,13 @@ def _other_address(records: DataFrame, members: DataFrame, links: DataFrame, kno
     k = known.withColumn("tag", tag)
     best = k.groupBy("cls", "load").agg(F.min(F.struct("first", "tag")).alias("m"))
     second = k.join(best, ["cls", "load"]).where(F.col("tag") != F.col("m.tag")).groupBy("cls", "load").agg(F.min(F.struct("first", "tag")).alias("m"))
-    two = best.unionByName(second)
-    mine = records.select("id", "load", "address").join(members, "id")
+    # tables that are used more than once are written, else each use computes them anew
+    two = shared_table(best.unionByName(second), "two")
+    mine = shared_table(records.select("id", "load", "address").join(members, "id"), "mine")
     probe = mine.select("cls", "load").distinct()
     to = links.select(F.col("a").alias("cls"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("o"))).unionByName(probe.select("cls", F.col("cls").alias("o")).distinct())
-    found = to.join(two.select(F.col("cls").alias("o"), F.col("load").alias("was"), "m"), "o").join(probe, "cls").where("was < load").groupBy("cls", "load", "m.tag").agg(F.min("m.first").alias("first"))
-    top = found.groupBy("cls", "load").agg(F.min(F.struct("first", "tag")).alias("x"))
+    found = shared_table(to.join(two.select(F.col("cls").alias("o"), F.col("load").alias("was"), "m"), "o").join(probe, "cls").where("was < load").groupBy("cls", "load", "m.tag").agg(F.min("m.first").alias("first")), "partners")
+    top = shared_table(found.groupBy("cls", "load").agg(F.min(F.struct("first", "tag")).alias("x")), "first_partners")
     next_ = found.join(top, ["cls", "load"]).where(F.col("tag") != F.col("x.tag")).groupBy("cls", "load").agg(F.min("first").alias("y"))
     answers = top.join(next_, ["cls", "load"], "left")
     return mine.join(answers, ["cls", "load"]).select("id", F.when(F.col("x.tag").eqNullSafe(F.col("address")), F.col("y")).otherwise(F.col("x.first")).alias("prior")).where("prior is not null")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import fingerprints as fp
-from marlstone.session import cut
+from marlstone.session import cut, shared_table
 
 THRESHOLD, LEAST_WORDS, MISS = 0.7, 12, 0.001
 #: Exact copies are paired with one another in classes of up to this many; in a larger class each is paired with
@@ -28,10 +28,10 @@ def similar_classes(df: DataFrame, id_col: str = "rec_id", name: str = "name", t
     """(members, links): (id, cls) of each record that takes part; (a, b, similarity) of linked classes, a < b."""
     classed = fp.word_classes(df, id_col, name, text, words_in=text, least_words=least_words)
     reps = fp.representatives(classed)
-    members = fp.class_members(classed, reps)
+    members = shared_table(fp.class_members(classed, reps), "members")
     bounds = fp.posterior_bounds(threshold, miss)
     pairs = fp.pruned_pairs(fp.candidate_pairs(fp.block_rows(reps), threshold, bounds), reps, fp.posterior_bounds(threshold, miss, (64, 128)))
-    links = cut(fp.verified_pairs(pairs, reps, threshold))
+    links = shared_table(fp.verified_pairs(pairs, reps, threshold), "links")
     return members, links
 
 

@@ -57,7 +57,7 @@ def label_language(c: Column) -> Column:
 _TAG = re.compile(r"<[^<>]{0,400}>")
 _PHRASE = re.compile(r"`[^`\n]*`|\[[^\[\]\n]{0,200}\]|\([^()\n]{0,200}\)|\{[^{}\n]{0,200}\}|“[^”\n]{0,200}”|„[^“”\n]{0,200}[“”]|«[^»\n]{0,200}»|「[^」\n]{0,200}」|『[^』\n]{0,200}』|\"[^\"\n]{0,200}\"|https?://\S+|(?<!\S)--?[a-z][\w-]*")
 _NOISE = re.compile("\u00e2\u20ac[\u2122\u201c\u201d\u0153\u00a6\u02dc]?s?|[\u00c2\u00c3\ufffd](?=\\s|$)|\u00c2(?=\u00a0)|[\u200b-\u200f\u2060\ufeff\u00ad*_#>]")
-_BREAK = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\s+[—–/|•·]\s+|\s{2,}|[\r\n]+|\s*[\U0001F000-\U0001FAFF\u2600-\u27BF\u2026]\uFE0F?\s*")
+_BREAK = re.compile(r"(?<=[.!?])\s+|(?<=[.!?。！？])(?=[ぁ-ヿ一-鿿가-힣])|(?<=[。！？])\s*|\s+[—–/|•·]\s+|\s{2,}|[\r\n]+|\s*[\U0001F000-\U0001FAFF\u2600-\u27BF\u2026]\uFE0F?\s*")
 _LETTERS = re.compile(r"[^\W\d_]")
 _HANGUL, _KANA, _HAN, _CYRILLIC = (re.compile(p) for p in ("[\uac00-\ud7a3\u1100-\u11ff]", "[\u3041-\u30ff]", "[\u4e00-\u9fff]", "[\u0400-\u04ff]"))
 _LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]")
@@ -92,7 +92,8 @@ def candidates(unit: str, languages: list[str]) -> list[str]:
     most = max(han + kana, hangul, cyrillic, latin)
     if not most:
         return languages
-    some = {"ja": 1, "zh": 1} if most == han + kana else {"ko": 1} if most == hangul else {"ru": 1} if most == cyrillic else None
+    # Chinese has no kana
+    some = ({"ja": 1} if kana else {"ja": 1, "zh": 1}) if most == han + kana else {"ko": 1} if most == hangul else {"ru": 1} if most == cyrillic else None
     got = [x for x in languages if (x in some if some else x not in ("ja", "zh", "ko", "ru"))]
     return got or languages
 
@@ -130,7 +131,8 @@ class Judge:
         if len(some) == 1:
             return [(len(unit.encode()), some[0])]
         b = unit.lower().encode()
-        return sorted((len(self.compress[k](b)), k) for k in some)
+        # of equal sizes Han characters alone are rather Chinese
+        return sorted(((len(self.compress[k](b)), k) for k in some), key=lambda x: (x[0], x[1] == "ja", x[1]))
 
     def segments(self, text: str) -> list[tuple[str, float, str]]:
         """(language, confidence, words) of each segment, in reading order."""
@@ -240,5 +242,5 @@ def relabelled(df: DataFrame, samples: DataFrame, id_col: str = "rec_id", text:
     Columns: id_col, seg_no, lang, confidence, declared (the label's language), n_segments.
     """
     rows = usable_rows(df, id_col, text, label, name)
-    judge = fit(samples, rows, "lang", "sample", "declared", text)
+    judge = fit(samples, df.select(text, label_language(F.col(label)).alias("declared")), "lang", "sample", "declared", text)
     return segment_languages(rows, judge, id_col, text, "declared")

@@ -78,7 +78,7 @@ def combinations(hist: np.ndarray, capacity: int, depth: int = DEPTH, window: fl
         return []
     r = np.random.default_rng(seed)
     weight = hist[lengths] / hist[lengths].sum()
-    least = capacity - max(1, int(window * capacity))
+    least = capacity - int(window * capacity)
     known = lengths.tolist()
     out: dict[tuple[int, ...], None] = {}
     tries = 0
@@ -186,9 +186,11 @@ def fill_containers(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", t
     the driver, 1000 at most.
     """
     wanted = specs.where("spec_id is not null and capacity > 0 and tokenizer is not null").select("spec_id", "capacity", "tokenizer").orderBy("spec_id").limit(1000).collect()
+    if not wanted:
+        return docs.sparkSession.createDataFrame([], f"spec_id int, {id_col} bigint, part_no int, start_token int, n_tokens int, container_id bigint")
     names = sorted({s.tokenizer for s in wanted})
     counts = shared_table(token_counts(docs, names, id_col, text, folder), "counts")
-    per_spec = F.array(*[F.struct(F.lit(int(s.spec_id)).alias("spec_id"), F.lit(int(s.capacity)).alias("cap"), F.col("n")[names.index(s.tokenizer)].alias("total")) for s in wanted]) if wanted else F.array().cast("array<struct<spec_id:int,cap:int,total:int>>")
+    per_spec = F.array(*[F.struct(F.lit(int(s.spec_id)).alias("spec_id"), F.lit(int(s.capacity)).alias("cap"), F.col("n")[names.index(s.tokenizer)].alias("total")) for s in wanted])
     items = counts.select("id", F.explode(per_spec).alias("s")).select("id", "s.*")
     whole = F.floor(F.col("total") / F.col("cap"))
     rest = items.select("spec_id", "id", "cap", "total", (F.col("total") - whole * F.col("cap")).cast("int").alias("len"), whole.cast("int").alias("full"))
@@ -206,10 +208,8 @@ def fill_containers(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", t
     ranked = ranks_within(rest.where("len > 0").select("spec_id", "id", "len", "full", "cap"), ["spec_id", "len"], "id")
     hit = F.filter("runs", lambda x: (F.col("rank") >= x["first"]) & (F.col("rank") < x["first"] + x["items"]))[0]
     tails = ranked.join(table, ["spec_id", "len"]).withColumn("h", hit).select("spec_id", F.col("id").alias(id_col), (F.col("full") + 1).alias("part_no"), (F.col("full") * F.col("cap")).alias("start_token"), F.col("len").alias("n_tokens"), (F.col("h.box") + F.floor((F.col("rank") - F.col("h.first")) / F.col("h.each"))).alias("container_id"))
-    base = F.create_map(*[F.lit(x) for k in sorted(boxes) for x in (k, int(boxes[k]))]) if boxes else None
+    base = F.create_map(*[F.lit(x) for k in sorted(boxes) for x in (k, int(boxes[k]))])
     nothing = rest.where("total = 0").select("spec_id", F.col("id").alias(id_col), F.lit(1).alias("part_no"), F.lit(0).alias("start_token"), F.lit(0).alias("n_tokens"), F.lit(0).cast("bigint").alias("container_id"))
-    if not boxes:
-        return nothing.limit(0)
     # full containers of cut items follow the packed ones, numbered by hashed parts too
     cut = rest.where("full > 0").select("spec_id", "id", "full", "cap")
     share = cut.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(RANK_PARTS)))

@@ -28,9 +28,10 @@ GRADES = "SABCDF"
 
 def grade_value(c):
     """6 for S down to 1 for F; null for what holds no grade. Case, brackets, words like `grade` and signs are ignored."""
-    g = F.regexp_extract(F.upper(F.regexp_replace(F.lower(c), r"(?i)rank|grade|tier|class|level", " ")), r"(?:^|[^A-Z])([SABCDF])(?:[^A-Z]|$)", 1)
+    plain = F.regexp_replace(F.regexp_replace(F.lower(c), "rank|grade|tier|class|level", ""), "[^a-z0-9+-]", "")
+    g = F.upper(F.regexp_extract(plain, "^([a-z])[+-]?$", 1))
     at = F.instr(F.lit(GRADES), g)
-    return F.when((g != "") & (at > 0), F.lit(len(GRADES) + 1) - at).cast("double")
+    return F.when((g != "") & (at > 0) & ~F.coalesce(c, F.lit("")).contains("/"), F.lit(len(GRADES) + 1) - at).cast("double")
 
 
 def first_component(items: DataFrame, scores: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:

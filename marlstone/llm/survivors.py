@@ -107,8 +107,8 @@ def catalog_survivors(skills: DataFrame, renames: DataFrame, registry: DataFrame
     """
     stock = learned_stock_phrases(skills, "description", "name")
     rank = trust_of(F.col("source"), registry)
-    keyed = record_address(skills, renames, "key").withColumnRenamed("rec_id", "id")
-    keyed = keyed.select("id", "key", "source", "repo_url", "description", usable(F.col("description"), stock).alias("ok"), rank.alias("rank"), utc_day(F.col("raw_metadata.pushed_at")).alias("day"))
+    slim = skills.select("rec_id", "repo_url", "source", "description", "raw_metadata")
+    keyed = record_address(slim, renames, "key").select(F.col("rec_id").alias("id"), "key", "source", "repo_url", "description", usable(F.col("description"), stock).alias("ok"), rank.alias("rank"), utc_day(F.col("raw_metadata.pushed_at")).alias("day"))
     fields = {
         "repo_url": spelled_address(F.col("repo_url")),
         "source": F.nullif(source_key(F.col("source")), F.lit("")),

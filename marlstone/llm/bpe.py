@@ -25,7 +25,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +36,14 @@ TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 # The splitting pattern that the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for ASCII text, which the faster standard library can do.
-ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+#: The same with what is most frequent first, which changes nothing, since no two alternatives begin alike; and for ASCII, which the faster standard library can do.
+_WIDE_PATTERN = r" ?\p{L}++| ?\p{N}++|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
+_ASCII_PATTERN = rb" ?[A-Za-z]++| ?[0-9]++|'(?:[stmd]|re|ve|ll)| ?[^\t-\r A-Za-z0-9]++|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
 #: Bytes of text in a chunk; words longer than LONG_WORD bytes are merged with a heap instead of the fold, whose cost is quadratic in the length.
-CHUNK_BYTES, LONG_WORD = 4 << 20, 2048
-_SLOTS = 1 << 17
-_NONE = 2**31 - 1
+CHUNK_BYTES, LONG_WORD = 16 << 20, 2048
+#: Larger than any rank.
+_NONE = 1 << 17
 
 
 @lru_cache(4)
@@ -69,7 +69,7 @@ def splitter(name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR):
     """A function from a text to its words, as bytes."""
     import regex
 
-    wide, ascii_, cut = regex.compile(PATTERN), re.compile(ASCII_PATTERN), _cut_pattern(name, folder)
+    wide, ascii_, cut = regex.compile(_WIDE_PATTERN), re.compile(_ASCII_PATTERN), _cut_pattern(name, folder)
     memo: dict[str, list[bytes]] = {}
 
     def of(piece: str) -> list[bytes]:
@@ -81,92 +81,120 @@ def splitter(name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR):
             got = memo[piece] = [b] if piece.isascii() else cut.split(b)
         return got
 
+    # a cut before white space that follows something else falls between two pieces in any case
+    lines = re.compile(r"(?<=\S)(?=\n)")
+
     def split(text: str) -> list[bytes]:
         if text.isascii():
-            return [p.encode() for p in ascii_.findall(text)]
-        return [w for p in wide.findall(text) for w in of(p)]
+            return ascii_.findall(text.encode())
+        out: list[bytes] = []
+        for line in lines.split(text):
+            if line.isascii():
+                out += ascii_.findall(line.encode())
+            else:
+                for p in wide.findall(line):
+                    out += of(p)
+        return out
 
     return split
 
 
 @lru_cache(4)
-def _merge_tables(name: str, folder: str) -> tuple[list[int], str, str]:
-    """The rank map: ids of the 256 bytes, and two slot tables in which a pair of ids has one of two places.
+def _merge_tables(name: str, folder: str) -> tuple[list[int], str, str, str]:
+    """The rank map, as number lists: ids of the 256 bytes; ranks of byte pairs; a displacement for each left id; slots.
 
-    A slot holds the pair and its rank in one number, (left * 2^16 + right) * 2^17 + rank, or -1. Every
-    way to halve a token into two tokens is a pair.
+    Every way to halve a token into two tokens is a pair. The slot of a pair is the displacement of its left id
+    plus its right id, and holds left * 2^17 + rank; displacements are chosen so that no two pairs share a slot.
     """
     ranks = vocabulary(name, folder)
-    if len(ranks) > 1 << 16:
-        raise ValueError("ids must fit in 16 bits")
-    pairs = {}
+    rows: dict[int, dict[int, int]] = {}
     for t, r in ranks.items():
         for i in range(1, len(t)):
             a, b = ranks.get(t[:i]), ranks.get(t[i:])
             if a is not None and b is not None:
-                pairs[a, b] = r
-    slots = np.full((2, _SLOTS), -1, np.int64)
-    for (a, b), r in pairs.items():
-        item, side = ((a << 16 | b) << 17) | r, 0
-        for _ in range(1000):
-            at = _slot(item >> 33, (item >> 17) & 0xFFFF, side)
-            item, slots[side, at] = int(slots[side, at]), item
-            if item == -1:
+                rows.setdefault(a, {})[b] = r
+    n_ids = max(ranks.values()) + 1
+    size = 16 * n_ids
+    slots, free = np.full(size + n_ids, -1, np.int64), np.ones(size + n_ids, bool)
+    place = np.zeros(n_ids, np.int64)
+    first_free = 0
+    for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        rights = np.array(sorted(row))
+        while not free[first_free]:
+            first_free += 1
+        at, wide = max(0, first_free - int(rights[-1])), 256 if len(rights) < 16 else 8192
+        while True:
+            span = np.arange(at, min(at + wide, size))
+            if not len(span):
+                raise ValueError("the rank map needs more slots")
+            for x in rights:
+                span = span[free[span + x]]
+                if not len(span):
+                    break
+            if len(span):
+                hit = int(span[0])
                 break
-            side = 1 - side  # what was there moves to its other place
-        else:
-            raise ValueError("the rank map needs more slots")
-    return [ranks[bytes([i])] for i in range(256)], ",".join(map(str, slots[0])), ",".join(map(str, slots[1]))
-
-
-def _slot(left: int, right: int, side: int) -> int:
-    """One of the two places of a pair, by the hash that the engine computes of the same number."""
-    h = xxhash.xxh64_intdigest((left << 16 | right).to_bytes(8, "little"), seed=42)
-    return (h >> 17 * side) & (_SLOTS - 1)
+            at, wide = at + wide, min(wide * 2, 1 << 16)
+        place[a] = hit
+        free[hit + rights] = False
+        slots[hit + rights] = [a << 17 | row[int(b)] for b in rights]
+    last = (int(np.flatnonzero(~free).max()) if rows else 0) + n_ids + 1
+    bytes_ = [ranks[bytes([i])] for i in range(256)]
+    pairs = [ranks.get(bytes([i, j]), _NONE) for i in range(256) for j in range(256)]
+    text = lambda xs: ",".join(map(str, xs))
+    return bytes_, text(pairs), text(place), text(np.pad(slots, (0, n_ids))[:last])
 
 
 def merge_fold(word: Column, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> Column:
     """The ids (array<int>) of one word (binary, not empty): its bytes, then the lowest-ranked pair merged again and again."""
-    byte_ids, one, two = _merge_tables(name, folder)
+    byte_ids, byte_pairs, place, slots = _merge_tables(name, folder)
     numbers = lambda text, kind: F.split(F.lit(text), ",").cast(f"array<{kind}>")
 
-    def rank(t: Column, left: Column, right: Column) -> Column:
-        l, r = left.cast("bigint"), right.cast("bigint")
-        pair = l * (1 << 16) + r
-
-        def at(side: int) -> Column:
-            h = F.xxhash64(pair) if side == 0 else F.shiftright(F.xxhash64(pair), 17)
-            return F.get(t["one" if side == 0 else "two"], h.bitwiseAND(F.lit(_SLOTS - 1)).cast("int"))
+    low = F.lit((1 << 17) - 1)
+    ident = lambda x: x.bitwiseAND(low)
 
-        hit = lambda side: F.when(F.shiftright(at(side), 17) == pair, at(side).bitwiseAND(F.lit((1 << 17) - 1)).cast("int"))
-        return F.coalesce(hit(0), hit(1), F.lit(_NONE))
+    def entry(t: Column, left: Column, at: Column, right: Column) -> Column:
+        """A token at byte `at`, with the rank of the pair it forms with the token after it in front; _NONE if that doesn't merge."""
+        held = F.get(t["slots"], F.get(t["place"], left.cast("int")) + right.cast("int"))
+        rank = F.coalesce(F.least((held - F.shiftleft(left, 17)).bitwiseAND(F.lit(2**63 - 1)), F.lit(_NONE)), F.lit(_NONE))
+        return F.shiftleft(rank, 34) + at + left
 
     def fold(t: Column) -> Column:
-        ids = F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.get(t["bytes"], F.ascii(c)))
+        codes = F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.ascii(c))
 
-        def start(ids: Column) -> Column:
-            ranks = F.transform(F.sequence(F.lit(1), F.size(ids) - 1), lambda i: rank(t, F.get(ids, i - 1), F.get(ids, i)))
-            return F.struct(ids.alias("ids"), ranks.alias("ranks"))
+        def start(codes: Column) -> Column:
+            def one(c: Column, i: Column) -> Column:
+                rank = F.coalesce(F.get(t["pairs"], c * 256 + F.get(codes, i + 1)), F.lit(_NONE).cast("bigint"))
+                return F.shiftleft(rank, 34) + F.shiftleft(i.cast("bigint"), 17) + F.get(t["bytes"], c)
+
+            return F.transform(codes, one)
 
         def merged(s: Column, m: Column, p: Column) -> Column:
-            ids, ranks, n = s["ids"], s["ranks"], F.size(s["ids"])
-            none = F.array().cast("array<int>")
-            before = F.when(p > 1, F.array(rank(t, F.get(ids, p - 2), m))).otherwise(none)
-            after = F.when(p < n - 1, F.array(rank(t, m, F.get(ids, p + 1)))).otherwise(none)
-            new_ids = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(m), F.slice(ids, p + 2, n))
-            new_ranks = F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), before, after, F.slice(ranks, p + 2, n))
-            return F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"))
+            # the least entry is the leftmost pair of the lowest rank, and that rank is the id of what it merges to
+            token = F.shiftright(m, 34)
+            before = F.get(s, p - 2)
+            left = F.when(p > 1, F.array(entry(t, ident(before), before.bitwiseAND(F.lit(((1 << 17) - 1) << 17)), token))).otherwise(F.array().cast("array<bigint>"))
+            here = F.array(entry(t, token, m.bitwiseAND(F.lit(((1 << 17) - 1) << 17)), ident(F.get(s, p + 1))))
+            return F.concat(F.slice(s, F.lit(1), F.greatest(p - 2, F.lit(0))), left, here, F.slice(s, p + 2, F.lit(1 << 30)))
 
         def step(s: Column, _: Column) -> Column:
-            return let(F.array_min(s["ranks"]), lambda m: F.when(F.coalesce(m, F.lit(_NONE)) == _NONE, s).otherwise(let(F.array_position(s["ranks"], m).cast("int"), lambda p: merged(s, m, p))))
+            # without a pair that merges nothing changes any more
+            return let(F.array_min(s), lambda m: F.when(m >= _NONE << 34, s).otherwise(let(F.array_position(s, m).cast("int"), lambda p: merged(s, m, p))))
 
-        many = lambda ids: F.aggregate(F.sequence(F.lit(2), F.size(ids)), start(ids), step, lambda s: s["ids"])
-        return let(ids, lambda ids: F.when(F.size(ids) == 1, ids).otherwise(many(ids)))
+        return let(codes, lambda codes: F.aggregate(F.slice(codes, 2, 1 << 30), start(codes), step, lambda s: F.transform(s, lambda x: ident(x).cast("int"))))
 
-    tables = F.struct(F.array(*[F.lit(i) for i in byte_ids]).alias("bytes"), numbers(one, "bigint").alias("one"), numbers(two, "bigint").alias("two"))
+    tables = F.struct(F.array(*[F.lit(i) for i in byte_ids]).alias("bytes"), numbers(byte_pairs, "bigint").alias("pairs"), numbers(place, "int").alias("place"), numbers(slots, "bigint").alias("slots"))
     return let(tables, fold)
 
 
+class _Numbers(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def _chunked(docs: DataFrame, name: str, folder: str, chunk_bytes: int) -> DataFrame:
     """(chunk, id, refs, word, local): document rows have id and refs (uint32 numbers), word rows have word and its number."""
     schema = pa.schema([("chunk", pa.int64()), ("id", pa.int64()), ("refs", pa.binary()), ("word", pa.binary()), ("local", pa.int32())])
@@ -174,7 +202,7 @@ def _chunked(docs: DataFrame, name: str, folder: str, chunk_bytes: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(name, folder)
         chunk, size = TaskContext.get().partitionId() << 32, 0
-        local: dict[bytes, int] = {}
+        local = _Numbers()
         ids: list[int | None] = []
         refs: list[bytes] = []
 
@@ -195,12 +223,12 @@ def _chunked(docs: DataFrame, name: str, folder: str, chunk_bytes: int) -> DataF
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text = text.as_py() or ""
                 found = split(text)
-                refs.append(np.fromiter((local.setdefault(w, len(local)) for w in found), np.uint32, len(found)).tobytes())
+                refs.append(np.fromiter(map(local.__getitem__, found), np.uint32, len(found)).tobytes())
                 ids.append(i)
                 size += len(text)
                 if size >= chunk_bytes:
                     yield flush()
-                    chunk, size, local, ids, refs = chunk + 1, 0, {}, [], []
+                    chunk, size, local, ids, refs = chunk + 1, 0, _Numbers(), [], []
         if ids:
             yield flush()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.urls import record_address
 from marlstone.llm import bpe, history, language, neardup, packing, ranking, spam, survivors
+from marlstone.llm.oracles import ORACLES  # noqa: F401  read by the entry
 from marlstone.session import table
 
 
@@ -83,4 +84,3 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p4_ranking, p4_agreement, p7_ids, p8_containers, p8_fill, p9_found, p1_found, p1_survivors, p1_source_reliability, p5_found, p5_groups, p6_found)}
-ORACLES: dict[str, str] = {}

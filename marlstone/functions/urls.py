@@ -12,6 +12,7 @@ from marlstone.session import small_rows
 #: longer lists are resolved and joined as tables.
 RENAME_LITERAL_ROWS = 256
 
+_PLAIN = r"^https://(?!www\.)[a-z0-9-]+(?:\.[a-z0-9-]+)+/(?![^\n]*\.git(?:/|\z))[a-z0-9_-][a-z0-9_.-]*(?:/[a-z0-9_.-]*[a-z0-9_-])*\z"
 _EDGE = r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$"
 
 
@@ -27,20 +28,24 @@ def spelled_address(c: Column) -> Column:
     percent encoding, doubled, dotted and trailing slashes, a `.git` end of the repository,
     white space and invisible characters around. Branches and inner paths are kept.
     """
-    s = F.lower(F.regexp_replace(c, _EDGE, ""))
-    s = F.regexp_replace(s, r"^[a-z][a-z0-9+.\-]*:/+", "")
-    s = F.regexp_replace(s, r"^[^/@?#]*@([^/:]+)(?::(?!\d+(?:/|$))/*)?", "$1/")
-    s = F.regexp_replace(s, r"[?#][\s\S]*$", "")
 
     def decoded(s: Column) -> Column:
         plain = F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)
         return F.when(s.contains("%"), F.lower(F.regexp_replace(plain, _EDGE, ""))).otherwise(F.regexp_replace(s, _EDGE, ""))
 
-    s = let(s, decoded)
-    s = F.regexp_replace(s, r"^(?:www\.)?([^/:]+)(?::(?:443|80|22))?(?=/|$)", "$1")
-    s = F.regexp_replace(s, r"(?:/\.(?=/|$)|/(?=/))", "")
-    s = F.regexp_replace(s, r"/+$", "")
-    return F.nullif(F.regexp_replace(s, r"^([^/]+/[^/]+/[^/]+?)(?:\.git)+(?=/|$)", "$1"), F.lit(""))
+    def step_by_step(s: Column) -> Column:
+        s = F.regexp_replace(s, _EDGE, "")
+        s = F.regexp_replace(s, r"^[a-z][a-z0-9+.\-]*:/+", "")
+        s = F.regexp_replace(s, r"^[^/@?#]*@([^/:]+)(?::(?!\d+(?:/|$))/*)?", "$1/")
+        s = F.regexp_replace(s, r"[?#][\s\S]*$", "")
+        s = let(s, decoded)
+        s = F.regexp_replace(s, r"^(?:www\.)?([^/:]+)(?::(?:443|80|22))?(?=/|$)", "$1")
+        s = F.regexp_replace(s, r"(?:/\.(?=/|$)|/(?=/))", "")
+        s = F.regexp_replace(s, r"/+$", "")
+        return F.nullif(F.regexp_replace(s, r"^([^/]+/[^/]+/[^/]+?)(?:\.git)+(?=/|$)", "$1"), F.lit(""))
+
+    # most addresses need nothing but the scheme taken off, which one look shows
+    return let(F.lower(c), lambda s: F.when(s.rlike(_PLAIN), F.substring(s, 9, 1 << 30)).otherwise(step_by_step(s)))
 
 
 def close_renames(pairs: dict[str, str]) -> dict[str, str]:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from marlstone.session import ship
+
 QUERY_BLOCK = 2_048
 #: Rows from which an index is built with inverted lists, and how many there are.
 IVF_ROWS, IVF_LISTS = 30_000, 256
@@ -80,6 +82,7 @@ def _merge(parts: list[DataFrame], k: int, spark) -> DataFrame:
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): the k rows with the greatest inner product of each query. Null vectors take no part."""
+    ship(vectors.sparkSession)
     rows = vectors.select(id_col, vector).where(F.col(vector).isNotNull())
     parts = []
     for ids, q in _blocks(queries, id_col, vector):
@@ -153,6 +156,8 @@ class VectorIndex:
 
     @staticmethod
     def _coded(vectors: DataFrame, id_col: str, vector: str, q: ScalarQuantizer, c: np.ndarray) -> DataFrame:
+        ship(vectors.sparkSession)
+
         def run(batches):
             for b in batches:
                 if len(b):

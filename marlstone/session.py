@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,23 @@ def build_session(cores: int = 8, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that Python workers find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_marlstone_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    file = Path(tempfile.mkdtemp(prefix="marlstone-")) / "marlstone.zip"  # served from the driver, not read by executors
+    with zipfile.ZipFile(file, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    sc.addPyFile(str(file))
+    sc._marlstone_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table `name` of a data folder: one Parquet file, or a folder of them."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
     session without that setting gets a folder of its own.
     """
     spark = df.sparkSession
+    ship(spark)
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -62,6 +80,7 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """`df` written as a table below the shared checkpoint folder and read again: a compressed, columnar cut of the lineage."""
     spark = df.sparkSession
+    ship(spark)
     path = shared_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,6 +25,8 @@ SAME = [
     "https://forge.example/o/r.git/?tab=readme#usage",
     "ssh://git@forge.example/o/r.git",
     " \thttps://forge.example//o/r//\n",
+    "https://forge.example/o/r\n",
+    "https://forge.example/o/r.git\n",
     "https://forge.example/%6F/r",
     "​https://forge.example/o/./r ",
 ]

@@ -23,10 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import learned_stock_phrases, usable
+from marlstone.session import ship
 
 #: Bounds of what is read to the driver and of each dictionary's bytes.
 SAMPLE_ROWS, LABELLED_ROWS, DICTIONARY_BYTES = 20_000, 4_000, 24_000
-LEVEL = 9
+LEVEL, PER_BEGINNING = 9, 6
 #: A margin below this many bytes, or below this share of the smaller size, is narrow.
 NARROW_BYTES, NARROW_SHARE = 5, 0.06
 
@@ -88,7 +89,7 @@ def candidates(unit: str, languages: list[str]) -> list[str]:
     if unit.isascii():
         return [x for x in languages if x not in ("ja", "zh", "ko", "ru")] or languages
     han, kana, hangul, cyrillic = (len(p.findall(unit)) for p in (_HAN, _KANA, _HANGUL, _CYRILLIC))
-    latin = len(_LATIN.findall(unit)) / 3
+    latin = len(_LATIN.findall(unit)) / 6  # names among CJK characters are Latin, and a letter says less than a character
     most = max(han + kana, hangul, cyrillic, latin)
     if not most:
         return languages
@@ -177,20 +178,25 @@ def fit(samples: DataFrame, labelled: DataFrame | None, lang: str, sample: str,
     if labelled is None:
         return judge
     known = labelled.select(F.col(label).alias("k"), F.col(text).alias("t")).where(F.col("k").isin(judge.languages) & (F.length("t").between(20, 4000)))
-    sure: dict[str, list[str]] = defaultdict(list)
-    open_: dict[tuple[str, ...], list[tuple[str, str]]] = defaultdict(list)
+    seen: dict[tuple[str, ...], list[tuple[str, str, bool]]] = defaultdict(list)
     for r in known.orderBy(F.xxhash64("t"), "t").limit(LABELLED_ROWS).collect():
         for u in units(r.t):
-            z = judge.sizes(u)
-            if r.k == z[0][1] and (len(z) == 1 or z[1][0] >= z[0][0] + NARROW_BYTES):
-                sure[r.k].append(u.lower())
-            elif z[-1][0] < z[0][0] + 2 * NARROW_BYTES:
-                open_[tuple(u.lower().split()[:2])].append((r.k, u.lower()))
+            sizes = {k: n for n, k in judge.sizes(u)}
+            best = min(sizes.values())
+            if sizes.get(r.k, 1 << 30) < best + 2 * NARROW_BYTES:
+                second = min((n for k, n in sizes.items() if k != r.k), default=1 << 30)
+                seen[tuple(u.lower().split()[:2])].append((r.k, u.lower(), sizes[r.k] + NARROW_BYTES <= second))
     # sentences that the clean samples can't tell apart follow the label that most sentences with their first two words bear
-    for votes in open_.values():
-        k, n = Counter(k for k, _ in votes).most_common(1)[0]
-        if n >= 3 and n >= 0.7 * len(votes):
-            sure[k] += [u for x, u in votes if x == k]
+    sure: dict[str, list[str]] = defaultdict(list)
+    for votes in seen.values():
+        k, n = Counter(k for k, _, _ in votes).most_common(1)[0]
+        won = n >= 3 and n >= 0.7 * len(votes)
+        mine: Counter[str] = Counter()
+        for x, u, clear in votes:
+            # a few sentences of each beginning, so that a dictionary holds all of them
+            if (clear or won and x == k) and mine[x] < PER_BEGINNING:
+                mine[x] += 1
+                sure[x].append(u)
     for k, us in sure.items():
         texts[k] += _without_names(us, texts[k])
     return Judge(texts)
@@ -208,6 +214,7 @@ def segment_languages(df: DataFrame, judge: Judge, id_col: str, text: str, decla
 
     With `declared`, texts of one language that equals that column are left out.
     """
+    ship(df.sparkSession)
     # compressors can't be sent, texts can: at most DICTIONARY_BYTES a language
     shared = df.sparkSession.sparkContext.broadcast(judge.texts)
     seg = pa.struct([("lang", pa.string()), ("confidence", pa.float64())])

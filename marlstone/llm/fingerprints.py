@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.core import let
 from marlstone.functions.text import words
 from marlstone.session import shared_table
 
@@ -29,8 +30,11 @@ def word_classes(df: DataFrame, id_col: str, *texts: str, words_in: str, least_w
 
     `hashes` are the sorted 64-bit hashes of the distinct words of all `texts`; null texts have none.
     """
-    sets = F.array_sort(F.array_distinct(F.flatten(F.array(*[words(F.col(t)) for t in texts]))))
-    rows = df.where(F.size(F.array_distinct(words(F.col(words_in)))) >= least_words).select(F.col(id_col).alias("id"), sets.alias("w"))
+    main = words(F.col(words_in))
+    rest = [words(F.col(t)) for t in texts if t != words_in]
+    enough = let(main, lambda w: F.when(F.size(F.array_distinct(w)) >= least_words, F.array_sort(F.array_distinct(F.concat(w, *rest)))))
+    # exploding a list of none or one keeps the filter from splitting every text a second time
+    rows = df.select(F.col(id_col).alias("id"), F.explode(F.array_compact(F.array(enough))).alias("w"))
     # written once, since both the classes and their members are made of it; in Parquet the repeated words are stored as dictionary codes
     return shared_table(rows.select("id", F.unhex(F.md5(F.array_join("w", " "))).alias("key"), F.transform("w", lambda x: F.xxhash64(x)).alias("hashes")), "classed")
 

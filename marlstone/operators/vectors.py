@@ -221,8 +221,11 @@ def attribute_filter(platforms: list[str] = (), sources: list[str] = (), min_sta
 def search(hits: DataFrame, rows: DataFrame, keep: Column, propose: int, key: str = "id") -> DataFrame:
     """Post-filtered search (TK5): of the first 6 * propose hits of each query those that pass, at most 3 * propose; scores are clamped to 0..1.
 
+    Columns of `rows` named query_id, sim_score or place give way to the search's own; score and rank may be the rows'.
     The filter comes after the cut on purpose: a selective one may leave fewer rows than there are matches.
     """
-    top = hits.where(F.col("rank") <= 6 * propose).join(rows, key).where(keep)
-    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
-    return top.withColumn("sim_score", clamp_score(F.col("score"))).withColumn("place", place).where(F.col("place") <= 3 * propose)
+    near = hits.where(F.col("rank") <= 6 * propose).select(key, F.col("query_id").alias("_query_id"), F.col("score").alias("_score"), F.col("rank").alias("_rank"))
+    top = near.join(rows, key).where(keep)
+    place = F.row_number().over(W.partitionBy("_query_id").orderBy("_rank"))
+    got = top.withColumns({"query_id": F.col("_query_id"), "sim_score": clamp_score(F.col("_score")), "place": place})
+    return got.where(F.col("place") <= 3 * propose).drop("_query_id", "_score", "_rank")

@@ -160,22 +160,22 @@ def embedding_texts(spark, d):
 
 
 @query(
-    f"""WITH {MERGED}, c AS (SELECT id, CASE WHEN list_has_any(source, ['skillsmp', 'marketplace', 'topic']) THEN 'claude_code=add ' || name END AS a,
+    f"""WITH {MERGED}, c AS (SELECT id, CASE WHEN list_has_any(source, ['skillsmp', 'marketplace', 'topic']) THEN 'assistant=add ' || name END AS a,
  CASE WHEN list_contains(platforms, 'codex') THEN 'codex=copy' END AS b, CASE WHEN list_contains(source, 'clawhub') THEN 'openclaw=fetch ' || name END AS o FROM merged)
  SELECT id, concat_ws(';', a, b, o) AS commands FROM c"""
 )
 def command_maps(spark, d):
     """PJ9, FN19"""
-    t = {s: ("claude_code", "add {name}") for s in ("skillsmp", "marketplace", "topic")} | {"clawhub": ("openclaw", "fetch {name}")}
+    t = {s: ("assistant", "add {name}") for s in ("skillsmp", "marketplace", "topic")} | {"clawhub": ("openclaw", "fetch {name}")}
     m = merge.command_map(F.col("source"), F.col("name"), F.col("platforms"), t, {"codex": "copy"})
     return merged(spark, d).select("id", F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("commands"))
 
 
-@query("SELECT rec_id, array_to_string(CASE WHEN raw_metadata.platforms IS NOT NULL THEN list_filter(raw_metadata.platforms, lambda p: p <> '') WHEN source = 'clawhub' THEN ['openclaw'] ELSE ['claude_code'] END, '|') AS platforms FROM skillsmp")
+@query("SELECT rec_id, array_to_string(CASE WHEN raw_metadata.platforms IS NOT NULL THEN list_filter(raw_metadata.platforms, lambda p: p <> '') WHEN source = 'clawhub' THEN ['openclaw'] ELSE ['assistant'] END, '|') AS platforms FROM skillsmp")
 def inferred_platforms(spark, d):
     """PJ10, PJ11"""
     s = flat(spark, d)
-    return s.select("rec_id", F.array_join(merge.infer_platforms(F.col("platforms"), F.lit(False), F.col("source"), {"clawhub": "openclaw"}, "claude_code"), "|").alias("platforms"))
+    return s.select("rec_id", F.array_join(merge.infer_platforms(F.col("platforms"), F.lit(False), F.col("source"), {"clawhub": "openclaw"}, "assistant"), "|").alias("platforms"))
 
 
 @query(f"WITH {MERGED} SELECT id FROM merged WHERE list_has_any(platforms, ['codex', 'openclaw']) AND list_has_any(source, ['skillsmp', 'topic']) AND stars >= 10")

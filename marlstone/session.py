@@ -82,7 +82,7 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     path = shared_folder(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,4 +1,4 @@
-"""Streaming counterparts of the batch increments (SM1-SM5): an extension, since the reference works in batches only."""
+"""Streaming counterparts of the batch increments (SM1-SM5)."""
 
 from __future__ import annotations
 

@@ -27,7 +27,7 @@ from marlstone.session import ship
 
 #: Bounds of what is read to the driver and of each dictionary's bytes.
 SAMPLE_ROWS, LABELLED_ROWS, DICTIONARY_BYTES = 20_000, 4_000, 24_000
-LEVEL, PER_BEGINNING = 9, 6
+LEVEL, PER_BEGINNING = 3, 6
 #: A margin below this many bytes, or below this share of the smaller size, is narrow.
 NARROW_BYTES, NARROW_SHARE = 5, 0.06
 
@@ -59,6 +59,9 @@ _TAG = re.compile(r"<[^<>]{0,400}>")
 _PHRASE = re.compile(r"`[^`\n]*`|\[[^\[\]\n]{0,200}\]|\([^()\n]{0,200}\)|\{[^{}\n]{0,200}\}|“[^”\n]{0,200}”|„[^“”\n]{0,200}[“”]|«[^»\n]{0,200}»|「[^」\n]{0,200}」|『[^』\n]{0,200}』|\"[^\"\n]{0,200}\"|https?://\S+|(?<!\S)--?[a-z][\w-]*")
 _NOISE = re.compile("\u00e2\u20ac[\u2122\u201c\u201d\u0153\u00a6\u02dc]?s?|[\u00c2\u00c3\ufffd](?=\\s|$)|\u00c2(?=\u00a0)|[\u200b-\u200f\u2060\ufeff\u00ad*_#>]")
 _BREAK = re.compile(r"(?<=[.!?])\s+|(?<=[.!?。！？])(?=[ぁ-ヿ一-鿿가-힣])|(?<=[。！？])\s*|\s+[—–/|•·]\s+|\s{2,}|[\r\n]+|\s*[\U0001F000-\U0001FAFF\u2600-\u27BF\u2026]\uFE0F?\s*")
+_ASCII_BREAK = re.compile(r"(?<=[.!?])\s+|\s+[/|]\s+|\s{2,}|[\r\n]+")
+#: Texts without these characters hold no phrase or noise to take out.
+_MARKS = re.compile(r"[`\[({\"\-*_#>]|http")
 _LETTERS = re.compile(r"[^\W\d_]")
 _HANGUL, _KANA, _HAN, _CYRILLIC = (re.compile(p) for p in ("[\uac00-\ud7a3\u1100-\u11ff]", "[\u3041-\u30ff]", "[\u4e00-\u9fff]", "[\u0400-\u04ff]"))
 _LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]")
@@ -70,11 +73,13 @@ def units(text: str) -> list[str]:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(" ", text)
-    text = _PHRASE.sub(" ", _NOISE.sub("", text))
+    plain = text.isascii()
+    if not plain or _MARKS.search(text):
+        text = _PHRASE.sub(" ", _NOISE.sub("", text))
     out = []
-    for u in _BREAK.split(text):
+    for u in (_ASCII_BREAK if plain else _BREAK).split(text):
         u = " ".join(u.split())
-        if u.isascii():
+        if plain or u.isascii():
             if len(u) >= 17 and " " in u:
                 out.append(u)
             continue

@@ -39,14 +39,24 @@ def word_classes(df: DataFrame, id_col: str, *texts: str, words_in: str, least_w
     return shared_table(rows.select("id", F.unhex(F.md5(F.array_join("w", " "))).alias("key"), F.transform("w", lambda x: F.xxhash64(x)).alias("hashes")), "classed")
 
 
-def representatives(classed: DataFrame) -> DataFrame:
-    """(key, cls, hashes): one row a class, named by its least id."""
-    return shared_table(classed.groupBy("key").agg(F.min("id").alias("cls"), F.first("hashes").alias("hashes")), "classes")
+def class_names(classed: DataFrame) -> DataFrame:
+    """(key, cls): each class, named by its least id."""
+    return shared_table(classed.groupBy("key").agg(F.min("id").alias("cls")), "classes")
 
 
-def class_members(classed: DataFrame, reps: DataFrame) -> DataFrame:
+def representatives(classed: DataFrame, names: DataFrame) -> DataFrame:
+    """(cls, hashes): one row a class of `names`, that of its least id.
+
+    The rows are partitioned by cls. Whoever joins them by cls, or makes fingerprints of them in the same query, reads this one shuffle again.
+    """
+    own = classed.select(F.col("id").alias("cls"), "hashes").join(names.select("cls"), "cls", "left_semi")
+    return own.groupBy("cls").agg(F.first("hashes").alias("hashes"))
+
+
+def class_members(classed: DataFrame, names: DataFrame) -> DataFrame:
     """(id, cls) of each classed row."""
-    return classed.select("id", "key").distinct().join(reps.select("key", "cls"), "key").select("id", "cls")
+    # one shuffle by key serves the distinct rows and the join
+    return classed.select("id", "key").repartition("key").distinct().join(names.select("key", "cls"), "key").select("id", "cls")
 
 
 def _mixers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,16 +74,14 @@ def minimum_hashes(values: np.ndarray, starts: np.ndarray, n_hashes: int, seed:
     return out
 
 
-def block_rows(reps: DataFrame, blocks: int = BLOCKS, rows: int = ROWS, seed: int = 11, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(block, cls, n, sketch): `blocks` rows a class. `block` holds one block of minimum hashes and its place.
+def block_rows(reps: DataFrame, blocks: int = BLOCKS, rows: int = ROWS, seed: int = 11) -> DataFrame:
+    """(block, sketch, cls): `blocks` rows a class. `block` holds one block of minimum hashes and its place.
 
-    This is the rotated block table: the row of place j is the fingerprint turned so that block j leads.
-    `carry` names further bigint columns of `reps` to keep.
-    """
+    This is the rotated block table: the row of place j is the fingerprint turned so that block j leads.    """
     n_hashes = max(blocks * rows, SKETCH_BITS)
     bit_of = np.linspace(0, n_hashes - 1, SKETCH_BITS).astype(int)
-    fields = [("block", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("sketch", pa.int64()), *[(c, pa.int64()) for c in carry]]
-    schema = pa.schema(fields)
+    # in this order the random bytes of a row lie together, which is what the shuffle's compression likes
+    schema = pa.schema([("block", pa.int64()), ("sketch", pa.int64()), ("cls", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = _mixers(seed + 1, blocks * rows)
@@ -96,31 +104,30 @@ def block_rows(reps: DataFrame, blocks: int = BLOCKS, rows: int = ROWS, seed: in
                     k = (k ^ (mins[i].astype(np.uint64) + add[i])) * mul[i]
                     k ^= k >> np.uint64(31)
                 keys[j] = k
-            rep = lambda x: np.tile(x, blocks)
-            cols = [keys.reshape(-1).view(np.int64), rep(b.column(1).to_numpy()[keep]), rep(size[keep].astype(np.int32)), rep(sketch), *[rep(b.column(2 + i).to_numpy()[keep]) for i in range(len(carry))]]
+            cols = [keys.reshape(-1).view(np.int64), np.tile(sketch, blocks), np.tile(b.column(1).to_numpy()[keep], blocks)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
 
-    ddl = "block bigint, cls bigint, n int, sketch bigint" + "".join(f", {c} bigint" for c in carry)
-    return reps.select("hashes", "cls", *carry).mapInArrow(run, ddl)
+    return reps.select("hashes", "cls").mapInArrow(run, "block bigint, sketch bigint, cls bigint")
 
 
 def long_sketches(reps: DataFrame, seed: int = 29) -> DataFrame:
-    """(cls, s0, s1): 128 further sketch bits a class, of other hash functions than the blocks'."""
-    schema = pa.schema([("cls", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
+    """(cls, n, s0, s1): the words of each class and 128 further sketch bits, of other hash functions than the blocks'."""
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             off = b.column(0).offsets.to_numpy().astype(np.int64)
             values = b.column(0).values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)[off[0] : off[-1]]
-            keep = np.flatnonzero(np.diff(off) > 0)
+            size = np.diff(off).astype(np.int32)
+            keep = np.flatnonzero(size > 0)
             if not len(keep):
                 continue
             bits = (minimum_hashes(values, (off[:-1] - off[0])[keep], 128, seed) & np.uint32(1)).astype(np.uint64)
             place = np.arange(64, dtype=np.uint64)[:, None]
             s0, s1 = ((bits[i : i + 64] << place).sum(0, dtype=np.uint64).view(np.int64) for i in (0, 64))
-            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep)), pa.array(s0), pa.array(s1)], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep)), pa.array(size[keep]), pa.array(s0), pa.array(s1)], schema=schema)
 
-    return reps.select("hashes", "cls").mapInArrow(run, "cls bigint, s0 bigint, s1 bigint")
+    return reps.select("hashes", "cls").mapInArrow(run, "cls bigint, n int, s0 bigint, s1 bigint")
 
 
 def posterior_bounds(threshold: float, miss: float, batches: tuple[int, ...] = (16, 32, 48, 64)) -> list[tuple[int, int]]:
@@ -151,23 +158,28 @@ def sequential_check(a: Column, b: Column, bounds: list[tuple[int, int]]) -> Col
     return ok
 
 
-def candidate_pairs(rows: DataFrame, threshold: float, bounds: list[tuple[int, int]], others: DataFrame | None = None) -> DataFrame:
-    """Distinct (a, b), a < b, of classes that share a block and may reach `threshold`; with `others`, of one class on either side."""
+def candidate_pairs(rows: DataFrame, bounds: list[tuple[int, int]], others: DataFrame | None = None) -> DataFrame:
+    """Distinct (a, b, differ), a < b, of classes that share a block and whose sketches pass; differ counts their differing bits, and equal pairs lie together by a, as the next step needs them; with `others`, of one class on either side."""
     x, y = rows.alias("x"), (rows if others is None else others).alias("y")
-    fits = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
     apart = F.col("x.cls") < F.col("y.cls") if others is None else F.col("x.cls") != F.col("y.cls")
-    on = (F.col("x.block") == F.col("y.block")) & apart & fits & sequential_check(F.col("x.sketch"), F.col("y.sketch"), bounds)
-    return x.join(y, on).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    on = (F.col("x.block") == F.col("y.block")) & apart & sequential_check(F.col("x.sketch"), F.col("y.sketch"), bounds)
+    differ = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))).cast("tinyint")
+    return x.join(y, on).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), differ.alias("differ")).repartition("a").distinct()
 
 
-def pruned_pairs(pairs: DataFrame, reps: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
-    """(a, b): the candidates that also pass the later batches, of 64 and 128 further bits."""
+def pruned_pairs(pairs: DataFrame, reps: DataFrame, threshold: float, bounds: list[tuple[int, int]]) -> DataFrame:
+    """(a, b): the candidates whose sizes allow the threshold and that also pass the later batches.
+
+    `bounds` are for 128 and 192 bits in all, the first 64 of which the candidates have been compared on.
+    """
     sk = long_sketches(reps)
-    one = pairs.join(sk.select(F.col("cls").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1")), "a")
-    two = one.join(sk.select(F.col("cls").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1")), "b")
-    first = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0")))
+    one = pairs.join(sk.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("s0").alias("a0"), F.col("s1").alias("a1")), "a")
+    two = one.join(sk.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("s0").alias("b0"), F.col("s1").alias("b1")), "b")
+    second = F.col("differ") + F.bit_count(F.col("a0").bitwiseXOR(F.col("b0")))
+    third = second + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     least = dict(bounds)
-    return two.where((first <= 64 - least[64]) & (first + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= 128 - least[128])).select("a", "b")
+    fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
+    return two.where(fits & (second <= 128 - least[128]) & (third <= 192 - least[192])).select("a", "b")
 
 
 def verified_pairs(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:

@@ -24,8 +24,8 @@ from marlstone.llm import fingerprints as fp
 from marlstone.llm.neardup import LEAST_WORDS, THRESHOLD
 from marlstone.session import cut, shared_table
 
-#: Most differing bits among the first 64, then among 64 and 128 further ones; a pair at the threshold exceeds each with probability 0.001 or less.
-MOST_DIFFERENT_BITS = (19, 19, 32)
+#: Most differing bits among the first 64, 128 and 192; a pair at the threshold exceeds each with probability 0.001 or so.
+MOST_DIFFERENT_BITS = (19, 32, 45)
 _NEVER = -(2**31)
 
 
@@ -35,6 +35,11 @@ def catalog_records(df: DataFrame, renames: DataFrame | None) -> DataFrame:
     return record_address(df, renames).select(F.col("rec_id").alias("id"), F.col("load_no").cast("bigint").alias("load"), "address", day.alias("day"), "name", "description")
 
 
+def _slim(records: DataFrame) -> DataFrame:
+    """(id, load, address, day): what the look-ups need, written once; an address is its 16-byte digest from here on, which is a quarter of its length."""
+    return shared_table(records.select("id", "load", F.unhex(F.md5("address")).alias("address"), "day"), "records")
+
+
 def _by_address(records: DataFrame) -> DataFrame:
     return records.where("address is not null").groupBy("address", "load").agg(F.max("day").alias("day"), F.min("id").alias("first"))
 
@@ -52,7 +57,7 @@ def _other_address(records: DataFrame, members: DataFrame, links: DataFrame, kno
     `known` has (cls, load, address, first). Of each class and load the two least partners with differing addresses
     are enough to answer for any address, so nothing grows with the square of a class.
     """
-    tag = F.coalesce("address", F.concat(F.lit("\0"), F.col("first").cast("string")))
+    tag = F.coalesce("address", F.col("first").cast("string").cast("binary"))
     k = known.withColumn("tag", tag)
     best = k.groupBy("cls", "load").agg(F.min(F.struct("first", "tag")).alias("m"))
     second = k.join(best, ["cls", "load"]).where(F.col("tag") != F.col("m.tag")).groupBy("cls", "load").agg(F.min(F.struct("first", "tag")).alias("m"))
@@ -78,9 +83,10 @@ def nothing_new(records: DataFrame, threshold: float = THRESHOLD, least_words: i
     The result is that of checking and appending load by load; here all loads are looked up in one pass.
     """
     classed = fp.word_classes(records, "id", "name", "description", words_in="description", least_words=least_words)
-    reps = fp.representatives(classed)
-    slim = shared_table(records.select("id", "load", "address", "day"), "records")
-    members = shared_table(fp.class_members(classed, reps), "members")
+    names = fp.class_names(classed)
+    reps = fp.representatives(classed, names)
+    slim = _slim(records)
+    members = shared_table(fp.class_members(classed, names), "members")
     links = shared_table(_links(fp.block_rows(reps), None, reps, threshold, most_bits), "links")
     # a class without link or second member can't bring a partner
     linked = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
@@ -93,26 +99,26 @@ def nothing_new(records: DataFrame, threshold: float = THRESHOLD, least_words: i
 def _links(rows: DataFrame, old_rows: DataFrame | None, texts: DataFrame, threshold: float, most_bits: tuple[int, int, int]) -> DataFrame:
     """(a, b, similarity) of the classes behind `rows`, among themselves and, if given, with those behind `old_rows`."""
     at = [(64, 64 - most_bits[0])]
-    pairs = fp.candidate_pairs(rows, threshold, at)
+    pairs = fp.candidate_pairs(rows, at)
     if old_rows is not None:
-        pairs = pairs.unionByName(fp.candidate_pairs(rows, threshold, at, others=old_rows)).distinct()
-    return fp.verified_pairs(fp.pruned_pairs(pairs, texts, [(64, 64 - most_bits[1]), (128, 128 - most_bits[2])]), texts, threshold)
+        pairs = pairs.unionByName(fp.candidate_pairs(rows, at, others=old_rows)).repartition("a").distinct()
+    return fp.verified_pairs(fp.pruned_pairs(pairs, texts, threshold, [(128, 128 - most_bits[1]), (192, 192 - most_bits[2])]), texts, threshold)
 
 
 class HistoryIndex:
     """Everything accepted so far, in a folder that all executors share; each batch touches only its own matches.
 
-    Tables: `addresses` (address, load, day, first), `classes` (key, cls, hashes), `blocks` (block, cls, n, sketch), `links`
+    Tables: `addresses` (address, load, day, first), `classes` (key, cls, hashes), `blocks` (block, sketch, cls), `links`
     (a, b), `members` (cls, load, address, first). A batch that failed half-way may be checked again: rows are
     written under the batch's load number, which a second run overwrites.
     """
 
     TABLES = {
-        "addresses": "address string, day int, first bigint, load bigint",
+        "addresses": "address binary, day int, first bigint, load bigint",
         "classes": "key binary, cls bigint, hashes array<bigint>, load bigint",
-        "blocks": "block bigint, cls bigint, n int, sketch bigint, load bigint",
+        "blocks": "block bigint, sketch bigint, cls bigint, load bigint",
         "links": "a bigint, b bigint, load bigint",
-        "members": "cls bigint, address string, first bigint, load bigint",
+        "members": "cls bigint, address binary, first bigint, load bigint",
     }
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -137,14 +143,15 @@ class HistoryIndex:
         old = {t: self._read(t).where(F.col("load") != loads[0]) for t in self.TABLES}
         classed = fp.word_classes(records, "id", "name", "description", words_in="description", least_words=least_words)
         seen = old["classes"].select("key", F.col("cls").alias("was"))
-        fresh = cut(fp.representatives(classed).join(seen, "key", "left").withColumn("load", F.lit(loads[0])))
-        new = fresh.where("was is null").drop("was")
+        fresh = shared_table(fp.class_names(classed).join(seen, "key", "left").withColumn("load", F.lit(loads[0])), "fresh")
+        names = fresh.where("was is null").drop("was")
+        new = shared_table(names.join(fp.representatives(classed, names), "cls"), "new")
         members = classed.select("id", "key").distinct().join(fresh.select("key", F.coalesce("was", "cls").alias("cls")), "key").select("id", "cls")
         rows = cut(fp.block_rows(new.select("cls", "hashes")))
         texts = old["classes"].select("cls", "hashes").unionByName(new.select("cls", "hashes"))
-        made = cut(_links(rows, old["blocks"].select("block", "cls", "n", "sketch"), texts, threshold, most_bits))
+        made = cut(_links(rows, old["blocks"].select("block", "sketch", "cls"), texts, threshold, most_bits))
         links = made.select("a", "b").unionByName(old["links"].select("a", "b"))
-        slim = records.select("id", "load", "address", "day")
+        slim = _slim(records)
         got = cut(_merge(_old_addresses(slim, old["addresses"]), _other_address(slim, members, links, old["members"])))
         here = lambda df: df.withColumn("load", F.lit(loads[0]))
         self._write("addresses", _by_address(slim).select("address", "day", "first", "load"))

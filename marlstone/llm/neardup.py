@@ -27,10 +27,11 @@ FULL_CLASS = 1000
 def similar_classes(df: DataFrame, id_col: str = "rec_id", name: str = "name", text: str = "description", threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, cls) of each record that takes part; (a, b, similarity) of linked classes, a < b."""
     classed = fp.word_classes(df, id_col, name, text, words_in=text, least_words=least_words)
-    reps = fp.representatives(classed)
-    members = shared_table(fp.class_members(classed, reps), "members")
+    names = fp.class_names(classed)
+    reps = fp.representatives(classed, names)
+    members = shared_table(fp.class_members(classed, names), "members")
     bounds = fp.posterior_bounds(threshold, miss)
-    pairs = fp.pruned_pairs(fp.candidate_pairs(fp.block_rows(reps), threshold, bounds), reps, fp.posterior_bounds(threshold, miss, (64, 128)))
+    pairs = fp.pruned_pairs(fp.candidate_pairs(fp.block_rows(reps), bounds), reps, threshold, fp.posterior_bounds(threshold, miss, (128, 192)))
     links = shared_table(fp.verified_pairs(pairs, reps, threshold), "links")
     return members, links
 

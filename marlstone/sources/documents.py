@@ -6,7 +6,6 @@ import html.parser
 import json
 import posixpath
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame

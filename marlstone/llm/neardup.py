@@ -19,6 +19,8 @@ from marlstone.llm import fingerprints as fp
 from marlstone.session import cut, shared_table
 
 THRESHOLD, LEAST_WORDS, MISS = 0.7, 12, 0.001
+#: Rounds after which the search for components gives up with an error.
+MAX_ROUNDS = 50
 #: Exact copies are paired with one another in classes of up to this many; in a larger class each is paired with
 #: the representative only, so that the pairs stay linear in the rows while every member stays linked.
 FULL_CLASS = 1000
@@ -56,23 +58,36 @@ def near_duplicate_pairs(df: DataFrame, **params) -> DataFrame:
     return expand_pairs(members, links)
 
 
-def near_duplicate_groups(df: DataFrame, max_rounds: int = 50, **params) -> DataFrame:
-    """(rec_id, class_id, group_id, n_links): groups are the connected components of the links.
+def connected_components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(u, g): every class of the links (a, b) with the least class of its component.
 
-    group_id is the least class of the component; n_links is the number of classes linked to the record's.
-    Labels spread by hooking to the least neighbour and pointer doubling, so the rounds grow with the logarithm of the longest chain.
+    Each round a class takes the least of its label, its label's label and its neighbours' labels' labels, and writes the neighbours' least to
+    the class its label names, so that basins that meet are joined at their roots. Labels only fall; once a round changes none, linked classes have the
+    same label. Raises RuntimeError if `max_rounds` rounds don't suffice.
     """
-    members, links = similar_classes(df, **params)
     both = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     label = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("g")))
     for _ in range(max_rounds):
-        near = both.join(label.select(F.col("u").alias("v"), "g"), "v").groupBy("u").agg(F.min("g").alias("near"))
-        hooked = label.join(near, "u").select("u", F.least("g", "near").alias("h"), "g")
-        jump = label.select(F.col("u").alias("h"), F.col("g").alias("hg"))
-        nxt = cut(hooked.join(jump, "h", "left").select("u", F.least("h", F.coalesce("hg", "h")).alias("g"), F.col("g").alias("was")))
+        grand = label.join(label.select(F.col("u").alias("g"), F.col("g").alias("gg")), "g")
+        near = both.join(grand.select(F.col("u").alias("v"), "gg"), "v").groupBy("u").agg(F.min("gg").alias("near"))
+        own = F.struct("u", F.least("gg", "near").alias("g"), F.col("g").alias("was"))
+        root = F.struct(F.col("g").alias("u"), F.col("near").alias("g"), F.lit(None).cast(label.schema["g"].dataType).alias("was"))
+        told = grand.join(near, "u").select(F.explode(F.array(own, root)).alias("x")).select("x.*")
+        nxt = cut(told.groupBy("u").agg(F.min("g").alias("g"), F.max("was").alias("was")))
         label = nxt.select("u", "g")
         if nxt.where("g <> was").limit(1).count() == 0:
-            break
-    degree = both.groupBy("u").agg(F.count("*").alias("n_links"))
+            return label
+    raise RuntimeError(f"the groups are not settled after {max_rounds} rounds")
+
+
+def near_duplicate_groups(df: DataFrame, max_rounds: int = MAX_ROUNDS, **params) -> DataFrame:
+    """(rec_id, class_id, group_id, n_links): groups are the connected components of the links.
+
+    group_id is the least class of the component; n_links is the number of classes linked to the record's.
+    """
+    members, links = similar_classes(df, **params)
+    label = connected_components(links, max_rounds)
+    ends = links.select(F.col("a").alias("u")).unionByName(links.select(F.col("b").alias("u")))
+    degree = ends.groupBy("u").agg(F.count("*").alias("n_links"))
     info = label.join(degree, "u").withColumnRenamed("u", "cls")
     return members.join(info, "cls", "left").select(F.col("id").alias("rec_id"), F.col("cls").alias("class_id"), F.coalesce("g", "cls").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -72,6 +72,15 @@ def test_groups_are_the_components(spark, rows):
     assert len({(find(i), g) for i, g in got.items()}) == len(set(got.values())) == len({find(i) for i in got})
 
 
+@pytest.mark.parametrize("chain", [[1, *range(200, 1, -1)], random.Random(7).sample(range(1, 10_000), 1000)], ids=["falling", "random"])
+def test_long_chains_are_one_group(spark, chain):
+    links = spark.createDataFrame([(min(x), max(x)) for x in itertools.pairwise(chain)], "a bigint, b bigint")
+    got = {r.u: r.g for r in neardup.connected_components(links).collect()}
+    assert got == dict.fromkeys(chain, min(chain))
+    with pytest.raises(RuntimeError):
+        neardup.connected_components(links, max_rounds=2)
+
+
 def test_copies_case_order_and_marks(spark):
     text = " ".join(f"Word{i}," for i in range(15))
     rows = [(1, "n", text), (2, "N", text.upper()), (3, "n!", " ".join(reversed(text.split()))), (4, None, text), (5, "other", " ".join(text.split()[:11]))]

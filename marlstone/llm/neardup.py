@@ -21,9 +21,8 @@ from marlstone.session import cut, shared_table
 THRESHOLD, LEAST_WORDS, MISS = 0.7, 12, 0.001
 #: Rounds after which the search for components gives up with an error.
 MAX_ROUNDS = 50
-#: Exact copies are paired with one another in classes of up to this many; in a larger class each is paired with
-#: the representative only, so that the pairs stay linear in the rows while every member stays linked.
-FULL_CLASS = 1000
+#: Records of a class are paired in chunks of about this many, so that the pairs of a large class are made by many tasks.
+CHUNK = 256
 
 
 def similar_classes(df: DataFrame, id_col: str = "rec_id", name: str = "name", text: str = "description", threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
@@ -38,18 +37,29 @@ def similar_classes(df: DataFrame, id_col: str = "rec_id", name: str = "name", t
     return members, links
 
 
-def expand_pairs(members: DataFrame, links: DataFrame, full_class: int = FULL_CLASS) -> DataFrame:
-    """(rec_id_a, rec_id_b): the pairs of records behind linked classes and within classes."""
-    sizes = members.groupBy("cls").agg(F.count("*").alias("m"))
-    used = members.join(sizes, "cls")
-    # of a class beyond full_class only its representative is paired with others
-    open_ = used.where((F.col("m") <= full_class) | (F.col("id") == F.col("cls"))).select("cls", "id")
-    a, b = open_.select(F.col("cls").alias("a"), F.col("id").alias("ia")), open_.select(F.col("cls").alias("b"), F.col("id").alias("ib"))
-    across = links.join(a, "a").join(b, "b").select(F.least("ia", "ib").alias("rec_id_a"), F.greatest("ia", "ib").alias("rec_id_b"))
-    small = used.where((F.col("m") > 1) & (F.col("m") <= full_class)).select("cls", "id")
-    within = small.select("cls", F.col("id").alias("rec_id_a")).join(small.select("cls", F.col("id").alias("rec_id_b")), "cls").where("rec_id_a < rec_id_b").select("rec_id_a", "rec_id_b")
-    star = used.where((F.col("m") > full_class) & (F.col("id") != F.col("cls"))).select(F.col("cls").alias("rec_id_a"), F.col("id").alias("rec_id_b"))
-    return across.unionByName(within).unionByName(star)
+def expand_pairs(members: DataFrame, links: DataFrame, full_class: int | None = None) -> DataFrame:
+    """(rec_id_a, rec_id_b): all pairs of records behind linked classes and within classes, whatever their sizes.
+
+    With `full_class`, a compact form that leaves pairs out: of a class beyond that many records only the representative is paired with others.
+    """
+    sized = members.join(members.groupBy("cls").agg(F.count("*").alias("m")), "cls")
+    star = None
+    if full_class is not None:
+        beyond = (F.col("m") > full_class) & (F.col("id") != F.col("cls"))
+        star = sized.where(beyond).select(F.col("cls").alias("rec_id_a"), F.col("id").alias("rec_id_b"))
+        sized = sized.where(~beyond)
+    slot = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / CHUNK))
+    chunks = sized.groupBy("cls", slot.alias("slot")).agg(F.collect_list("id").alias("ids"), F.first("m").alias("m"))
+    side = lambda c: chunks.select(F.col("cls").alias(c), F.col("slot").alias(f"s{c}"), F.col("ids").alias(f"i{c}"))
+    across = links.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    many = chunks.where("m > 1").select(F.col("cls").alias("a"), F.col("slot").alias("sa"), F.col("ids").alias("ia"))
+    within = many.join(many.select("a", F.col("sa").alias("sb"), F.col("ia").alias("ib")), "a").where("sa <= sb").withColumn("b", F.col("a"))
+    # a fixed number of partitions, since pairs of chunks are small but what comes out of them is not
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = across.unionByName(within).repartition(n, "a", "sa", "b", "sb")
+    first = blocks.select((F.col("a") == F.col("b")) & (F.col("sa") == F.col("sb")), F.explode("ia").alias("x"), "ib").toDF("same", "x", "ib")
+    pairs = first.select("same", "x", F.explode("ib").alias("y")).where("not same or x < y").select(F.least("x", "y").alias("rec_id_a"), F.greatest("x", "y").alias("rec_id_b"))
+    return pairs if star is None else pairs.unionByName(star)
 
 
 def near_duplicate_pairs(df: DataFrame, **params) -> DataFrame:

@@ -94,6 +94,13 @@ def test_large_class_stays_linear(spark):
     assert got == {(0, i) for i in range(1, 60)}
 
 
+def test_every_pair_of_large_classes(spark):
+    a, b = " ".join(f"w{k}" for k in range(20)), " ".join(f"w{k}" for k in range(1, 21))
+    rows = [(i, None, " ".join([*a.split()[i % 20 :], *a.split()[: i % 20]])) for i in range(1100)] + [(i, None, b) for i in range(1100, 1120)]
+    got = neardup.near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA))
+    assert got.count() == got.distinct().where("rec_id_a < rec_id_b").count() == 1120 * 1119 // 2
+
+
 def test_no_rows_and_extra_columns(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert neardup.near_duplicate_pairs(df).count() == 0 and neardup.near_duplicate_groups(df).count() == 0

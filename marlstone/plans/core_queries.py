@@ -283,6 +283,12 @@ def star_labels(spark, d):
     return s.select("rec_id", stats.short_stars(F.col("stars")).alias("label"))
 
 
+@query()
+def star_labels_all(spark, d):
+    """FN15, FN16: every record, also those of 1,000 to 9,999 stars and without stars, which the SQL of star_labels leaves out"""
+    return flat(spark, d).select("rec_id", stats.short_stars(F.col("stars")).alias("label"))
+
+
 @query(f"WITH {MERGED}, h AS (SELECT {_case(stats.DOC_BUCKETS, 'stars')} AS bucket, count(*) AS n FROM merged GROUP BY 1) SELECT bucket, repeat('█', CAST(greatest(1, round_even(100.0 * n / sum(n) OVER () / 100 * 20, 0)) AS INT)) AS bar FROM h")
 def bars(spark, d):
     """FN14"""
@@ -442,7 +448,7 @@ def link_lists(spark, d):
 @query()
 def html_pages(spark, d):
     """FN20, SC34"""
-    t = table(spark, d, "documents").where(F.col("text").contains("<a ")).select("doc_id", docs_.html_parts("text").alias("h"))
+    t = table(spark, d, "documents").select("doc_id", docs_.html_parts("text").alias("h"))
     return t.select("doc_id", F.size("h.links").alias("n_links"), F.length("h.text").alias("n_text"))
 
 

@@ -72,6 +72,18 @@ def test_buckets_and_labels(spark):
     assert [r[0] for r in df.select(stats.short_stars(F.col("v"))).collect()][-2:] == ["98k", "1.5k"]
 
 
+def test_star_labels_of_every_record(spark, tmp_path):
+    from marlstone.plans.catalogue import QUERIES
+
+    rows = [(0, 999), (1, 1000), (2, 1250), (3, 1350), (4, 9940), (5, 9999), (6, 10_000), (7, None)]
+    meta = "struct<stars bigint, pushed_at string, default_branch string, skill_md_url string, platforms array<string>, topics array<string>>"
+    schema = f"rec_id bigint, repo_url string, name string, description string, source string, raw_metadata {meta}, desc_lang string, load_no int, crawled_at timestamp"
+    df = spark.createDataFrame([(i, None, None, None, None, (v, None, None, None, None, None), None, 1, None) for i, v in rows], schema)
+    df.write.parquet(str(tmp_path / "skillsmp.parquet"))
+    got = {r.rec_id: r.label for r in QUERIES["star_labels_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: "999", 1: "1.0k", 2: "1.2k", 3: "1.4k", 4: "9.9k", 5: "10.0k", 6: "10k", 7: None}
+
+
 def test_bar_rounds_half_to_even(spark):
     df = spark.createDataFrame([(12.5,), (0.1,), (0.0,), (100.0,)], "p double")
     assert [len(r[0]) for r in df.select(stats.bar(F.col("p"))).collect()] == [2, 1, 0, 20]

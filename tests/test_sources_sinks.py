@@ -109,6 +109,14 @@ def test_html_and_links(spark):
     assert {(r.i, r.category, r.name, r.description) for r in got.collect()} == {(1, "A", "n", "first"), (1, "B", "m", ""), (2, "", "q", "d")}
 
 
+def test_html_of_every_page(spark, tmp_path):
+    from marlstone.plans.catalogue import QUERIES
+
+    spark.createDataFrame([(1, '<A HREF="x">one</A>'), (2, "<p>two</p>"), (3, None), (4, '<a href="y">z</a>')], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_links, r.n_text) for r in QUERIES["html_pages"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 3), 2: (0, 3), 3: (0, 0), 4: (1, 1)}
+
+
 def test_paths_and_candidates(spark):
     df = spark.createDataFrame([("a/b/SKILL.md", "../c/X.md")], "b string, t string")
     assert df.select(docs.join_path("b", "t")).collect()[0][0] == "a/c/X.md"

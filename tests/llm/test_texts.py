@@ -262,6 +262,22 @@ def test_pages_as_a_table(spark, sf):
     assert spam.stuffed_pages(df.limit(0), s).count() == 0
 
 
+def test_all_pages_set_the_thresholds_and_copies_count_once(spark, sf, monkeypatch):
+    made = []
+    settle = spam.ProseModel.settle
+    monkeypatch.setattr(spam.ProseModel, "settle", lambda m, levels: (settle(m, levels), made.append((int(levels.sum()), m.middle, m.dev))))
+    s = table(spark, sf, "lang_samples")
+
+    def last(n, copies):
+        rows = [(i, f"Sort maps number{i} and split the list of files for it, then replay every step of pass{i}.") for i in range(n)] + [(n + i, PROSE * 4) for i in range(copies)]
+        spam.stuffed_pages(spark.createDataFrame(rows, "doc_id bigint, text string"), s).count()
+        return made[-1]
+
+    one, more, hot = last(10, 1), last(2000, 1), last(10, 500)
+    assert more[0] - one[0] == 1990  # every page has one block
+    assert hot == one
+
+
 def test_queries_are_registered():
     from marlstone.llm.queries import QUERIES
 

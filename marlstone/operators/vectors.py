@@ -21,6 +21,8 @@ QUERY_BLOCK = 2_048
 #: Rows from which an index is built with inverted lists, and how many there are.
 IVF_ROWS, IVF_LISTS = 30_000, 256
 TRAIN_ROWS = 20_000
+#: The lists that are probed are as many as keep this share of the nearest PROBE_K rows (what a catalog search fetches) of PROBE_QUERIES sampled rows.
+PROBE_RECALL, PROBE_K, PROBE_QUERIES = 0.95, 60, 500
 
 
 def l2_norm(v: Column) -> Column:
@@ -137,14 +139,36 @@ def train_centroids(vectors: DataFrame, lists: int, vector: str = "embedding", i
     return c
 
 
+def probes_needed(vectors: DataFrame, c: np.ndarray, vector: str = "embedding", id_col: str = "vec_id", recall: float = PROBE_RECALL, k: int = PROBE_K) -> int:
+    """The fewest lists whose probing keeps `recall` of the k nearest rows, a query's own row left out, within the sample that centroids are trained on.
+
+    In the whole table the nearest rows lie nearer, so that no fewer of them stand in the lists that are probed.
+    """
+    got = vectors.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_ROWS).select(vector).collect()
+    x = np.array([r[0] for r in got], np.float64)
+    if len(x) < 2:
+        return len(c)
+    own = np.linspace(0, len(x) - 1, min(PROBE_QUERIES, len(x))).astype(int)
+    norm = 0.5 * (c * c).sum(1)[None]
+    s = x[own] @ x.T
+    s[np.arange(len(own)), own] = -np.inf
+    k = min(k, len(x) - 1)
+    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(x[own] @ c.T - norm), axis=1, kind="stable"), axis=1)
+    need = place[np.arange(len(own))[:, None], np.argmax(x @ c.T - norm, 1)[top]]
+    kept = np.cumsum(np.bincount(need.reshape(-1), minlength=len(c))) / need.size
+    return int(np.searchsorted(kept, recall - 1e-9)) + 1
+
+
 class VectorIndex:
     """An index over all rows: quantized codes, in inverted lists from IVF_ROWS rows on.
 
     `table` has (id, list_id, codes). Partitioned by list_id when written, so that probing reads the probed lists only.
     """
 
-    def __init__(self, table: DataFrame, quantizer: ScalarQuantizer, centroids: np.ndarray) -> None:
+    def __init__(self, table: DataFrame, quantizer: ScalarQuantizer, centroids: np.ndarray, nprobe: int | None = None) -> None:
         self.table, self.quantizer, self.centroids = table, quantizer, centroids
+        self.nprobe = len(centroids) if nprobe is None else nprobe
 
     @classmethod
     def build(cls, vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", lists: int | None = None) -> VectorIndex:
@@ -152,7 +176,7 @@ class VectorIndex:
             lists = 1 if vectors.limit(IVF_ROWS).count() < IVF_ROWS else IVF_LISTS
         q = ScalarQuantizer.train(vectors, vector)
         c = np.zeros((1, len(q.lo))) if lists <= 1 else train_centroids(vectors, lists, vector, id_col)
-        return cls(cls._coded(vectors, id_col, vector, q, c), q, c)
+        return cls(cls._coded(vectors, id_col, vector, q, c), q, c, 1 if lists <= 1 else probes_needed(vectors, c, vector, id_col))
 
     @staticmethod
     def _coded(vectors: DataFrame, id_col: str, vector: str, q: ScalarQuantizer, c: np.ndarray) -> DataFrame:
@@ -169,10 +193,11 @@ class VectorIndex:
 
     def append(self, vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> VectorIndex:
         """The index with further rows, coded with the ranges it has (TK8); values beyond a range get its end."""
-        return VectorIndex(self.table.unionByName(self._coded(vectors, id_col, vector, self.quantizer, self.centroids)), self.quantizer, self.centroids)
+        return VectorIndex(self.table.unionByName(self._coded(vectors, id_col, vector, self.quantizer, self.centroids)), self.quantizer, self.centroids, self.nprobe)
 
-    def search(self, queries: DataFrame, k: int, nprobe: int = 1, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        """(query_id, id, score, rank) from the `nprobe` lists nearest to each query."""
+    def search(self, queries: DataFrame, k: int, nprobe: int | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+        """(query_id, id, score, rank) from the `nprobe` lists nearest to each query, by default as many as the index was found to need."""
+        nprobe = self.nprobe if nprobe is None else nprobe
         quant, c, parts = self.quantizer, self.centroids, []
         for ids, q in _blocks(queries, id_col, vector):
             near = np.argsort(-(q @ c.T - 0.5 * (c * c).sum(1)[None]), axis=1, kind="stable")[:, :nprobe]

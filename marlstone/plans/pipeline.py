@@ -140,14 +140,14 @@ class CatalogIndex:
         writers.replace_atomically(metadata.withColumn("vec_id", F.xxhash64("id")), f"{self.folder}/metadata")
         index.table.withColumn("_batch", F.lit(0)).write.mode("overwrite").partitionBy("list_id").parquet(f"{self.folder}/vectors")
         n = metadata.count()
-        self._save({"model": model, "lo": index.quantizer.lo.tolist(), "span": index.quantizer.span.tolist(), "centroids": index.centroids.tolist(), "count": n, "date": datetime.date.today().isoformat(), "hash": writers.table_hash(self._table())})
+        self._save({"model": model, "lo": index.quantizer.lo.tolist(), "span": index.quantizer.span.tolist(), "centroids": index.centroids.tolist(), "nprobe": index.nprobe, "count": n, "date": datetime.date.today().isoformat(), "hash": writers.table_hash(self._table())})
 
     def _table(self) -> DataFrame:
         return self.spark.read.schema("id bigint, codes binary, _batch int, list_id int").parquet(f"{self.folder}/vectors").select("id", "list_id", "codes")
 
     def _index(self, state: dict) -> vec.VectorIndex:
         lo, span = np.array(state["lo"]), np.array(state["span"])
-        return vec.VectorIndex(self._table(), vec.ScalarQuantizer(lo, lo + span), np.array(state["centroids"]))
+        return vec.VectorIndex(self._table(), vec.ScalarQuantizer(lo, lo + span), np.array(state["centroids"]), state.get("nprobe"))
 
     def metadata(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/metadata")
@@ -172,8 +172,8 @@ class CatalogIndex:
         self._save(state | {"count": state["count"] + n, "date": datetime.date.today().isoformat(), "hash": writers.table_hash(self._table())})
         return n
 
-    def search(self, text: str, embedder: Callable[[list[str]], np.ndarray], keep: Column = None, propose: int = 10, nprobe: int = 1, prefix: str = "") -> DataFrame:
-        """Hits for a query text with sim_score and place: the first 6 * propose, filtered, at most 3 * propose."""
+    def search(self, text: str, embedder: Callable[[list[str]], np.ndarray], keep: Column = None, propose: int = 10, nprobe: int | None = None, prefix: str = "") -> DataFrame:
+        """Hits for a query text with sim_score and place: the first 6 * propose, filtered, at most 3 * propose; nprobe=1 searches the nearest list only."""
         state = self._state()
         q = [float(x) for x in embedder([prefix + text])[0]]
         query = self.spark.createDataFrame([(0, q)], "vec_id bigint, embedding array<float>")

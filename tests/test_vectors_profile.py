@@ -44,6 +44,13 @@ def test_quantized_and_inverted_lists(data):
     assert few <= more and more > 0.9
 
 
+def test_recall_of_the_production_index(spark):
+    from marlstone.plans.catalogue import QUERIES
+
+    for size in ("sf0.001", "sf0.1"):
+        assert QUERIES["recall_ivf"](spark, f"/root/testdata/{size}").collect()[0].recall >= 0.9
+
+
 def test_append_uses_stored_ranges(data):
     _, df = data
     half = vec.VectorIndex.build(df.where("vec_id < 200"), lists=1).append(df.where("vec_id >= 200"))

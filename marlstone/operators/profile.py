@@ -21,8 +21,6 @@ from pyspark.sql.window import Window as W
 
 from marlstone.session import shared_table
 
-#: Longer values are generalised on the two upper levels only: stating all their runs would always cost more than it saves.
-FINE_LENGTH = 48
 #: A share or a logarithm is far off when it leaves the median of the loads by this many robust spreads and by the least difference.
 SPREADS, LEAST_SHARE, LEAST_LOG, FREQUENT = 8.0, 0.1, 0.35, 0.05
 MIN_LOADS = 4
@@ -65,16 +63,13 @@ def _cells(df: DataFrame, columns: list[tuple[str, Column]], load: Column) -> Da
     cell = F.explode(F.array(*[F.struct(F.lit(n).alias("col"), c.alias("value")) for n, c in columns]))
     counts = df.select(load.cast("string").alias("load"), cell.alias("c")).groupBy("load", F.col("c.col").alias("col"), F.col("c.value").alias("value")).agg(F.count("*").alias("n"))
     full = F.col("value").isNotNull() & ~F.col("value").rlike(r"^[\s\p{Z}\p{C}]*$")
-    fine = full & (F.length("value") <= FINE_LENGTH)
     classes, words, runs, chars = _levels(F.col("value"))
     out = counts.withColumn("blank", F.col("value").isNotNull() & ~full)
-    out = out.withColumn("l3", F.when(full, classes)).withColumn("l2", F.when(fine, words).otherwise(F.when(full, F.lit("…"))))
-    out = out.withColumn("l1", F.when(fine, runs).otherwise(F.col("l2"))).withColumn("l0", F.when(fine, chars).otherwise(F.col("l2")))
+    out = out.withColumn("l3", F.when(full, classes)).withColumn("l2", F.when(full, words)).withColumn("l1", F.when(full, runs)).withColumn("l0", F.when(full, chars))
     # bits of a value under its exact runs; the upper levels add the run lengths, the word types, and all classes for each character
-    free = sum((F.length(F.regexp_replace("l0", f"[^{k}]", "")) * w for k, w in _BITS), F.lit(0.0))
-    b0 = F.when(fine, free).otherwise(F.length("value") * 6.0)
-    b1 = b0 + F.when(fine, F.length("l1") * 1.5).otherwise(0.0)
-    b2 = b1 + F.when(fine, F.length("l1") * 2.0).otherwise(0.0)
+    b0 = sum((F.length(F.regexp_replace("l0", f"[^{k}]", "")) * w for k, w in _BITS), F.lit(0.0))
+    b1 = b0 + F.length("l1") * 1.5
+    b2 = b1 + F.length("l1") * 2.0
     b3 = F.length("value") * F.log2(2 + 26.0 * F.col("l3").contains("A").cast("int") + 26 * F.col("l3").contains("a").cast("int") + 4000 * F.col("l3").contains("x").cast("int") + 10 * F.col("l3").contains("9").cast("int"))
     raw = F.length("value") * 11.0 + 16
     return out.withColumn("b0", b0).withColumn("b1", b1).withColumn("b2", b2).withColumn("b3", b3).withColumn("raw", raw)

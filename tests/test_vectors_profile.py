@@ -148,3 +148,10 @@ def test_odd_points(spark):
     rows = [(d, bad.get(i, v)) for i, (d, v) in enumerate(rows, 1)] + [("2025-01-29", None), (None, 5), rows[2]]
     got = odd_points(spark.createDataFrame(rows, "date string, n bigint"), "date", "n")
     assert {r.date for r in got.collect()} == {f"2025-01-{i:02d}" for i in bad}
+
+
+def test_long_values_get_real_expressions(spark):
+    garbage = [("".join(chr(0x4E00 + (i * 7919 + k * 104729) % 20000) for k in range(90)),) for i in range(5)]
+    prose = [(" ".join(["plain words follow one another here"] * 3) + f" case {i}.",) for i in range(40)]
+    got = {r.expression: r.n for r in Profile(spark.createDataFrame(prose + garbage, "v string")).expressions().collect()}
+    assert "…" not in got and got.get(None) == 5 and sum(got.values()) == 45

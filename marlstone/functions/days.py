@@ -49,4 +49,6 @@ def utc_day(c: Column) -> Column:
             .when(s.rlike(mdy), let(parts(s, mdy, 3), lambda x: named(x, 0, 1)))
         )
 
-    return let(F.trim(F.regexp_replace(c, r"[\s\p{Z}\p{C}]+", " ")), read)
+    # most times are plain ISO in UTC, of which the day is the beginning
+    plain = c.rlike(r"^\d{4}-\d\d-\d\d(?:[T ](?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d+)?Z?)?\z")
+    return F.when(plain, F.substring(c, 1, 10).try_cast("date")).otherwise(let(F.trim(F.regexp_replace(c, r"[\s\p{Z}\p{C}]+", " ")), read))

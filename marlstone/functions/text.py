@@ -27,7 +27,8 @@ STOCK_PHRASES = (
     "暂无描述",
 )
 
-WORD = r"[\p{L}\p{N}]+"
+#: ASCII stands first since it is tested fastest; a run is never given back.
+WORD = r"[a-z0-9\p{L}\p{N}]++"
 
 
 def words(c: Column) -> Column:

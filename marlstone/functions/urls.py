@@ -12,7 +12,7 @@ from marlstone.session import small_rows
 #: longer lists are resolved and joined as tables.
 RENAME_LITERAL_ROWS = 256
 
-_PLAIN = r"^https://(?!www\.)[a-z0-9-]+(?:\.[a-z0-9-]+)+/(?![^\n]*\.git(?:/|\z))[a-z0-9_-][a-z0-9_.-]*(?:/[a-z0-9_.-]*[a-z0-9_-])*\z"
+_PLAIN = r"^https://[a-z0-9-]++(?:\.[a-z0-9-]++)+/[a-z0-9_-][a-z0-9_.-]*+(?:/(?!\.(?:/|\z))[a-z0-9_.-]++)*\z"
 _EDGE = r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$"
 
 
@@ -45,7 +45,7 @@ def spelled_address(c: Column) -> Column:
         return F.nullif(F.regexp_replace(s, r"^([^/]+/[^/]+/[^/]+?)(?:\.git)+(?=/|$)", "$1"), F.lit(""))
 
     # most addresses need nothing but the scheme taken off, which one look shows
-    return let(F.lower(c), lambda s: F.when(s.rlike(_PLAIN), F.substring(s, 9, 1 << 30)).otherwise(step_by_step(s)))
+    return let(F.lower(c), lambda s: F.when(~s.contains(".git") & ~s.startswith("https://www.") & s.rlike(_PLAIN), F.substring(s, 9, 1 << 30)).otherwise(step_by_step(s)))
 
 
 def close_renames(pairs: dict[str, str]) -> dict[str, str]:
@@ -85,7 +85,7 @@ def with_address(df: DataFrame, raw: Column, renames: DataFrame | None = None, o
     r = renames.select(F.lower(F.trim("old_owner")).alias("old"), F.lower(F.trim("new_owner")).alias("new")).where("old <> '' and new <> ''")
 
     def owner(at: Column) -> Column:
-        return F.try_element_at(F.split(at, "/"), F.lit(2))
+        return F.when(at.contains("/"), F.substring_index(F.substring_index(at, "/", 2), "/", -1))
 
     def swapped(at: Column, new: Column) -> Column:
         rest = F.regexp_extract(at, r"^[^/]+/[^/]+(.*)$", 1)

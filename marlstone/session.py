@@ -11,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Shuffle files of a classic query go when the query ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def build_session(cores: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
     b = (
@@ -67,6 +71,9 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path below the shared checkpoint folder; what is written there goes when the session ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if base is None and given.isDefined():
+        base = given.get()
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -78,12 +85,33 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 
 def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """`df` written as a table below the shared checkpoint folder and read again: a compressed, columnar cut of the lineage."""
+    """`df` written as a table below the shared checkpoint folder and read again: a compressed, columnar cut of the lineage.
+
+    The shuffle files of the write go as soon as it is done, since nothing can ask for them again; `forget` deletes the table itself.
+    """
     spark = df.sparkSession
     ship(spark)
     path = shared_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    write_table(df.write.option("compression", "zstd"), spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._marlstone_path = path
+    return out
+
+
+def write_table(writer, spark: SparkSession, path: str) -> None:
+    """Writes Parquet to `path` and frees the shuffle files that the write made."""
+    was = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if was is None else spark.conf.set(_CLEAN, was)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table of `shared_table`; only for tables that nothing still to be computed reads."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._marlstone_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_rows(df: DataFrame, bound: int) -> list | None:

@@ -1,9 +1,8 @@
-"""Word-set classes and their block fingerprints, shared by near-duplicate search and history look-up.
+"""Word-set classes and their fingerprints, shared by near-duplicate search and history look-up.
 
-A record's text is its set of distinct words. Records with the same set form one class; only one
-representative a class is compared further. A fingerprint holds minimum hashes in blocks: equal
-blocks find candidates, the low bits of the minimum hashes give a 64-bit sketch whose bit
-differences estimate the similarity.
+A record's text is its set of distinct words, kept as 64-bit hashes. Records with the same set form one class; only one
+representative a class is compared further. A fingerprint is made once a class and written: minimum hashes in blocks, of which
+equal ones find candidates, and a sketch of 192 single bits of minimum hashes, whose differing bits estimate the similarity.
 """
 
 from __future__ import annotations
@@ -17,46 +16,43 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.core import let
 from marlstone.functions.text import words
-from marlstone.session import shared_table
+from marlstone.session import shared_table, ship
 
 #: 30 blocks of 6 minimum hashes: a pair at similarity 0.7 shares no block with probability
 #: (1 - 0.7^6)^30 = 0.024, one at 0.75 with 0.003, one at 0.8 with 0.0001.
 BLOCKS, ROWS = 30, 6
-SKETCH_BITS = 64
+SKETCH_BITS = 192
+#: Classes of one block from which it is hot: its classes are paired chunk by chunk, by many tasks.
+HOT_BLOCK = 512
+#: Pairs that are compared at once.
+_AT_ONCE = 1 << 20
 
-
-def word_classes(df: DataFrame, id_col: str, *texts: str, words_in: str, least_words: int) -> DataFrame:
-    """(id, key, hashes): rows with `least_words` distinct words in `words_in`; key identifies the word set.
-
-    `hashes` are the sorted 64-bit hashes of the distinct words of all `texts`; null texts have none.
-    """
-    main = words(F.col(words_in))
-    rest = [words(F.col(t)) for t in texts if t != words_in]
-    enough = let(main, lambda w: F.when(F.size(F.array_distinct(w)) >= least_words, F.array_sort(F.array_distinct(F.concat(w, *rest)))))
-    # exploding a list of none or one keeps the filter from splitting every text a second time
-    rows = df.select(F.col(id_col).alias("id"), F.explode(F.array_compact(F.array(enough))).alias("w"))
-    # written once, since both the classes and their members are made of it; in Parquet the repeated words are stored as dictionary codes
-    return shared_table(rows.select("id", F.unhex(F.md5(F.array_join("w", " "))).alias("key"), F.transform("w", lambda x: F.xxhash64(x)).alias("hashes")), "classed")
+#: Columns of a fingerprint beside the names of its class.
+FINGERPRINT = "n int, s0 bigint, s1 bigint, s2 bigint, blocks array<bigint>"
 
 
-def class_names(classed: DataFrame) -> DataFrame:
-    """(key, cls): each class, named by its least id."""
-    return shared_table(classed.groupBy("key").agg(F.min("id").alias("cls")), "classes")
+def word_set(*texts: Column, words_in: Column, least_words: int) -> Column:
+    """struct(k0, k1, hashes) of a row: the sorted hashes of the distinct words of `words_in` and `texts`, and 128 bits that name the set.
 
+    Null for rows with fewer than `least_words` distinct words in `words_in`; null texts have no words.
+    """
+    hashed = lambda t: F.transform(words(t), lambda x: F.xxhash64(x))
+    # sort_array compares numbers in compiled code, array_sort calls a function for each comparison
+    enough = let(hashed(words_in), lambda h: F.when(F.size(F.array_distinct(h)) >= least_words, F.sort_array(F.array_distinct(F.concat(h, *map(hashed, texts))))))
+    return let(enough, lambda h: F.when(h.isNotNull(), F.struct(F.xxhash64(h).alias("k0"), F.xxhash64(F.lit(1), h).alias("k1"), h.alias("hashes"))))
 
-def representatives(classed: DataFrame, names: DataFrame) -> DataFrame:
-    """(cls, hashes): one row a class of `names`, that of its least id.
 
-    The rows are partitioned by cls. Whoever joins them by cls, or makes fingerprints of them in the same query, reads this one shuffle again.
-    """
-    own = classed.select(F.col("id").alias("cls"), "hashes").join(names.select("cls"), "cls", "left_semi")
-    return own.groupBy("cls").agg(F.first("hashes").alias("hashes"))
+def word_classes(df: DataFrame, id_col: str, *texts: str, words_in: str, least_words: int) -> DataFrame:
+    """(id, k0, k1, hashes): the rows that take part, written once; in Parquet the repeated words are stored as dictionary codes."""
+    rest = [F.col(t) for t in texts if t != words_in]
+    # exploding a list of none or one keeps the filter from splitting every text a second time
+    rows = df.select(F.col(id_col).alias("id"), F.explode(F.array_compact(F.array(word_set(*rest, words_in=F.col(words_in), least_words=least_words)))).alias("w"))
+    return shared_table(rows.select("id", "w.*"), "classed")
 
 
-def class_members(classed: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, cls) of each classed row."""
-    # one shuffle by key serves the distinct rows and the join
-    return classed.select("id", "key").repartition("key").distinct().join(names.select("key", "cls"), "key").select("id", "cls")
+def class_names(classed: DataFrame) -> DataFrame:
+    """(k0, k1, cls, hashes): each class, named by its least id. Copies are summed up before the shuffle."""
+    return classed.groupBy("k0", "k1").agg(F.min("id").alias("cls"), F.min_by("hashes", "id").alias("hashes"))
 
 
 def _mixers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,62 +70,60 @@ def minimum_hashes(values: np.ndarray, starts: np.ndarray, n_hashes: int, seed:
     return out
 
 
-def block_rows(reps: DataFrame, blocks: int = BLOCKS, rows: int = ROWS, seed: int = 11) -> DataFrame:
-    """(block, sketch, cls): `blocks` rows a class. `block` holds one block of minimum hashes and its place.
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values (uint64) of a list column and where each list begins and ends."""
+    off = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)[off[0] : off[-1]]
+    return values, off - off[0]
 
-    This is the rotated block table: the row of place j is the fingerprint turned so that block j leads.    """
+
+def fingerprinted(classes: DataFrame, blocks: int = BLOCKS, rows: int = ROWS, seed: int = 11) -> DataFrame:
+    """The columns of `classes` and FINGERPRINT: number of words, the three parts of the sketch, and the blocks.
+
+    A block holds `rows` minimum hashes and its place among the blocks. The sketch takes one bit of each of 192 minimum hashes, the
+    blocks' own ones first, spread evenly; that they are the blocks' makes a pair that shares one look a little more alike, so that
+    fewer pairs are dropped. `hashes` must not be empty.
+    """
+    ship(classes.sparkSession)
+    names = classes.columns
     n_hashes = max(blocks * rows, SKETCH_BITS)
-    bit_of = np.linspace(0, n_hashes - 1, SKETCH_BITS).astype(int)
-    # in this order the random bytes of a row lie together, which is what the shuffle's compression likes
-    schema = pa.schema([("block", pa.int64()), ("sketch", pa.int64()), ("cls", pa.int64())])
+    mixed = np.random.default_rng(seed + 2).permutation(n_hashes)[:SKETCH_BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = _mixers(seed + 1, blocks * rows)
+        place = np.arange(64, dtype=np.uint64)[:, None]
         for b in batches:
-            lists = b.column(0)
-            off = lists.offsets.to_numpy().astype(np.int64)
-            values = lists.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)[off[0] : off[-1]]
-            off = off - off[0]
-            size = np.diff(off)
-            keep = np.flatnonzero(size > 0)
-            if not len(keep):
+            if not len(b):
                 continue
-            mins = minimum_hashes(values, off[:-1][keep], n_hashes, seed)
-            bits = (mins[bit_of] & np.uint32(1)).astype(np.uint64)
-            sketch = (bits << np.arange(SKETCH_BITS, dtype=np.uint64)[:, None]).sum(0, dtype=np.uint64).view(np.int64)
-            keys = np.empty((blocks, len(keep)), np.uint64)
+            values, off = _lists(b.column(names.index("hashes")))
+            mins = minimum_hashes(values, off[:-1], n_hashes, seed)
+            bits = (mins[mixed] & np.uint32(1)).astype(np.uint64)
+            sketch = [(bits[i : i + 64] << place).sum(0, dtype=np.uint64).view(np.int64) for i in (0, 64, 128)]
+            keys = np.empty((len(b), blocks), np.uint64)
             for j in range(blocks):
-                k = np.full(len(keep), (j + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+                k = np.full(len(b), (j + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
                 for i in range(j * rows, (j + 1) * rows):
                     k = (k ^ (mins[i].astype(np.uint64) + add[i])) * mul[i]
                     k ^= k >> np.uint64(31)
                 # 48 bits are enough: even among 10^9 records chance matches are some 10^5, which the sketches drop at once;
-                # the bits left out lie next to other zeros, which shuffles compress
-                keys[j] = k & np.uint64(0xFFFFFFFFFFFF0000)
-            cols = [keys.reshape(-1).view(np.int64), np.tile(sketch, blocks), np.tile(b.column(1).to_numpy()[keep], blocks)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
+                # the bits left out lie next to other zeros, which compress
+                keys[:, j] = k & np.uint64(0xFFFFFFFFFFFF0000)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, blocks, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
+            own = [pa.array(np.diff(off).astype(np.int32)), *map(pa.array, sketch), lists]
+            yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[*names, "n", "s0", "s1", "s2", "blocks"])
 
-    return reps.select("hashes", "cls").mapInArrow(run, "block bigint, sketch bigint, cls bigint")
+    given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields)
+    return classes.mapInArrow(run, f"{given}, {FINGERPRINT}")
 
 
-def long_sketches(reps: DataFrame, seed: int = 29) -> DataFrame:
-    """(cls, n, s0, s1): the words of each class and 128 further sketch bits, of other hash functions than the blocks'."""
-    schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64())])
+def block_rows(prints: DataFrame, fresh: bool = True) -> DataFrame:
+    """(block, sketch, cls): the rotated block table, in which a fingerprint stands once for each block, with that block first.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            off = b.column(0).offsets.to_numpy().astype(np.int64)
-            values = b.column(0).values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)[off[0] : off[-1]]
-            size = np.diff(off).astype(np.int32)
-            keep = np.flatnonzero(size > 0)
-            if not len(keep):
-                continue
-            bits = (minimum_hashes(values, (off[:-1] - off[0])[keep], 128, seed) & np.uint32(1)).astype(np.uint64)
-            place = np.arange(64, dtype=np.uint64)[:, None]
-            s0, s1 = ((bits[i : i + 64] << place).sum(0, dtype=np.uint64).view(np.int64) for i in (0, 64))
-            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep)), pa.array(size[keep]), pa.array(s0), pa.array(s1)], schema=schema)
-
-    return reps.select("hashes", "cls").mapInArrow(run, "cls bigint, n int, s0 bigint, s1 bigint")
+    The lowest bit of `block`, which blocks leave free, is 0 for fresh rows and 1 for others.
+    """
+    block = F.explode("blocks").alias("block")
+    rows = prints.select(block, F.col("s0").alias("sketch"), "cls")
+    return rows if fresh else rows.withColumn("block", F.col("block").bitwiseOR(F.lit(1)))
 
 
 def posterior_bounds(threshold: float, miss: float, batches: tuple[int, ...] = (16, 32, 48, 64)) -> list[tuple[int, int]]:
@@ -160,34 +154,133 @@ def sequential_check(a: Column, b: Column, bounds: list[tuple[int, int]]) -> Col
     return ok
 
 
-def candidate_pairs(rows: DataFrame, bounds: list[tuple[int, int]], others: DataFrame | None = None) -> DataFrame:
-    """Distinct (a, b, differ), a < b, of classes that share a block and whose sketches pass; differ counts their differing bits, and equal pairs lie together by a, as the next step needs them; with `others`, of one class on either side."""
-    x, y = rows.alias("x"), (rows if others is None else others).alias("y")
-    apart = F.col("x.cls") < F.col("y.cls") if others is None else F.col("x.cls") != F.col("y.cls")
-    on = (F.col("x.block") == F.col("y.block")) & apart & sequential_check(F.col("x.sketch"), F.col("y.sketch"), bounds)
-    differ = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))).cast("tinyint")
-    return x.join(y, on).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), differ.alias("differ")).repartition("a").distinct()
+def _compared(i: np.ndarray, j: np.ndarray, sketch: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (i, j) whose sketches pass each batch's bound, and how many bits differ; a pair that fails a batch isn't looked at again."""
+    for n, least in bounds:
+        differ = sketch[i] ^ sketch[j]
+        count = np.bitwise_count(differ if n == 64 else differ & np.uint64((1 << n) - 1))
+        keep = count <= n - least
+        i, j = i[keep], j[keep]
+    return i, j, np.bitwise_count(sketch[i] ^ sketch[j])
+
+
+def _pairs_of_runs(first: np.ndarray, size: np.ndarray, fresh: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the rows of each run, i < j and i fresh, some _AT_ONCE at a time. Fresh rows lead their run."""
+    at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    partners = np.where(fresh[at], np.repeat(first + size, size) - at - 1, 0)
+    bounds = np.cumsum(partners)
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(bounds, (bounds[lo - 1] if lo else 0) + _AT_ONCE, "right")))
+        n = partners[lo:hi]
+        i = np.repeat(at[lo:hi], n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        lo = hi
+
+
+def candidate_pairs(rows: DataFrame, bounds: list[tuple[int, int]], hot: int = HOT_BLOCK) -> DataFrame:
+    """(a, b, differ), a < b: the pairs of classes, one of them fresh at least, that share a block and whose sketches pass; differ counts
+    their differing bits. A pair may come more than once.
+
+    One shuffle by block; each task reads its sorted blocks once, and skips those of one class. Blocks of `hot` classes or more aren't
+    paired there: their rows are handed on in chunks of `hot`, and every two chunks of a block are compared by a task of their own.
+    The result is a written table.
+    """
+    ship(rows.sparkSession)
+    # one sort by one number: a block's fresh rows come before its others
+    laid = rows.repartition(F.shiftright("block", 1)).sortWithinPartitions("block")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("differ", pa.int8()), ("block", pa.int64()), ("slot", pa.int64())])
 
+    def handed(block: int, sketch: np.ndarray, cls: np.ndarray, fresh: np.ndarray, before: int) -> pa.RecordBatch:
+        """Rows of a hot block: the class as a, its sketch as b, and whether it is fresh as differ."""
+        n = len(cls)
+        return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(sketch.view(np.int64)), pa.array(fresh.astype(np.int8)), pa.array(np.full(n, block)), pa.array((before + np.arange(n)) // hot)], schema=schema)
 
-def pruned_pairs(pairs: DataFrame, reps: DataFrame, threshold: float, bounds: list[tuple[int, int]]) -> DataFrame:
-    """(a, b): the candidates whose sizes allow the threshold and that also pass the later batches.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        open_, seen = None, 0  # the hot block that is being handed on, and how many of its rows were
+        end = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["block", "sketch", "cls"])
+        for last, b in _with_end(batches, end):
+            raw = b.column(0).to_numpy()
+            cols = [raw & ~1, (raw & 1) == 0, b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()]
+            block, fresh, sketch, cls = (np.concatenate(x) for x in zip(kept, cols))
+            if open_ is not None:
+                n = int(np.searchsorted(block, open_, "right"))
+                if n:
+                    yield handed(open_, sketch[:n], cls[:n], fresh[:n], seen)
+                    seen += n
+                if n < len(block):
+                    open_, seen = None, 0
+                block, fresh, sketch, cls = block[n:], fresh[n:], sketch[n:], cls[n:]
+            first = np.flatnonzero(np.diff(block, prepend=block[:1] - 1)) if len(block) else np.zeros(0, np.int64)
+            size = np.diff(first, append=len(block))
+            # the last block may go on in the next batch
+            done = len(first) if last else max(0, len(first) - 1)
+            cut = len(block) if last or not len(first) else int(first[-1])
+            for f, n in zip(first[:done][size[:done] >= hot].tolist(), size[:done][size[:done] >= hot].tolist()):
+                yield handed(int(block[f]), sketch[f : f + n], cls[f : f + n], fresh[f : f + n], 0)
+            some = (size[:done] > 1) & (size[:done] < hot)
+            for i, j in _pairs_of_runs(first[:done][some], size[:done][some], fresh):
+                i, j, differ = _compared(i, j, sketch, bounds)
+                if len(i):
+                    x, y = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+                    # most pairs share several blocks, some of them in this batch
+                    order = np.lexsort((y, x))
+                    x, y = x[order], y[order]
+                    new = np.ones(len(x), bool)
+                    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+                    none = [pa.nulls(int(new.sum()), pa.int64())] * 2
+                    yield pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new]), pa.array(differ[order][new].astype(np.int8)), *none], schema=schema)
+            if len(block) - cut >= hot:
+                open_, seen = int(block[cut]), len(block) - cut
+                yield handed(open_, sketch[cut:], cls[cut:], fresh[cut:], 0)
+                cut = len(block)
+            kept = [block[cut:], fresh[cut:], sketch[cut:], cls[cut:]]
+
+    found = shared_table(laid.mapInArrow(run, "a bigint, b bigint, differ tinyint, block bigint, slot bigint"), "candidates")
+    pairs = found.where("block is null").select("a", "b", "differ").unionByName(_hot_pairs(found.where("block is not null"), bounds))
+    pairs._marlstone_path = found._marlstone_path
+    return pairs
+
+
+def _with_end(batches: Iterator[pa.RecordBatch], end: pa.RecordBatch) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    for b in batches:
+        yield False, b
+    yield True, end
+
+
+def _hot_pairs(rows: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """The pairs of hot blocks, whose rows have the class as a, its sketch as b, and whether it is fresh as differ: chunk against chunk, spread over the tasks."""
+    row = F.struct(F.col("b").alias("sketch"), F.col("a").alias("cls"), (F.col("differ") == 1).alias("fresh"))
+    chunks = rows.groupBy("block", "slot").agg(F.collect_list(row).alias("c"), (F.max("differ") == 1).alias("any"))
+    side = lambda s: chunks.select("block", *[F.col(k).alias(f"{k}{s}") for k in ("slot", "c", "any")])
+    both = side(1).join(side(2), "block").where("slot1 <= slot2 and (any1 or any2)")
+    spread = both.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "slot1", "slot2")
+    one = spread.select((F.col("slot1") == F.col("slot2")).alias("same"), F.explode("c1").alias("x"), "c2")
+    two = one.select("same", "x", F.explode("c2").alias("y")).where("(not same or x.cls < y.cls) and (x.fresh or y.fresh)")
+    close = two.where(sequential_check(F.col("x.sketch"), F.col("y.sketch"), bounds))
+    return close.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))).cast("tinyint").alias("differ"))
+
+
+def pruned_pairs(pairs: DataFrame, prints: DataFrame, threshold: float, bounds: list[tuple[int, int]]) -> DataFrame:
+    """(a, b): the distinct candidates whose sizes allow the threshold and that also pass the later batches.
 
     `bounds` are for 128 and 192 bits in all, the first 64 of which the candidates have been compared on.
     """
-    sk = long_sketches(reps)
-    one = pairs.join(sk.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("s0").alias("a0"), F.col("s1").alias("a1")), "a")
-    two = one.join(sk.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("s0").alias("b0"), F.col("s1").alias("b1")), "b")
-    second = F.col("differ") + F.bit_count(F.col("a0").bitwiseXOR(F.col("b0")))
-    third = second + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    side = lambda c: prints.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("s1").alias(f"{c}1"), F.col("s2").alias(f"{c}2"))
+    # equal pairs lie together by a, as the join needs them
+    two = pairs.repartition("a").distinct().join(side("a"), "a").join(side("b"), "b")
+    second = F.col("differ") + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    third = second + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
     least = dict(bounds)
     fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
     return two.where(fits & (second <= 128 - least[128]) & (third <= 192 - least[192])).select("a", "b")
 
 
-def verified_pairs(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def verified_pairs(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): the pairs whose word sets have at least `threshold` of their union in common."""
-    one = pairs.join(reps.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
-    two = one.join(reps.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
+    one = pairs.join(prints.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
+    two = one.join(prints.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
     both = F.size(F.array_intersect("ha", "hb"))
     got = two.select("a", "b", (F.size("ha") + F.size("hb")).alias("t"), both.alias("i"))
     return got.where(F.col("i") >= threshold * (F.col("t") - F.col("i")) - 1e-9).select("a", "b", (F.col("i") / (F.col("t") - F.col("i"))).alias("similarity"))

@@ -1,10 +1,10 @@
 """Deduplicating each new batch against all history (problem 6).
 
-Method: bit-difference fingerprints in rotated block tables. Each class of equal word sets has one row a
-block of its fingerprint; an exact block match finds candidates, the bit difference of the 64-bit sketches
-(one low bit of each of 64 minimum hashes) prunes them, the word sets themselves verify them, and the new
-rows are appended. 64 plain bits in blocks can't find pairs at similarity 0.7, which differ in some ten bits,
-so a block consists of six minimum hashes instead of a run of the sketch's bits.
+Method: bit-difference fingerprints in rotated block tables. Each class of equal word sets has a fingerprint, which stands
+in the block table once for each of its blocks; an exact block match finds candidates, the bit difference of the sketches (single bits of minimum
+hashes, 64 first, then 128 and 192) prunes them, the word sets themselves verify them, and the new fingerprints are appended.
+64 plain bits in blocks can't find pairs at similarity 0.7, which differ in some ten bits, so a block consists of six minimum
+hashes instead of a run of the sketch's bits.
 
 Addresses are looked up in a table of (address, load), which holds one row however many records an address has.
 
@@ -17,12 +17,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from marlstone.functions.days import utc_day
 from marlstone.functions.urls import record_address
 from marlstone.llm import fingerprints as fp
 from marlstone.llm.neardup import LEAST_WORDS, THRESHOLD
-from marlstone.session import cut, shared_table
+from marlstone.session import forget, shared_folder, shared_table, write_table
 
 #: Most differing bits among the first 64, 128 and 192; a pair at the threshold exceeds each with probability 0.001 or so.
 MOST_DIFFERENT_BITS = (19, 32, 45)
@@ -35,128 +36,134 @@ def catalog_records(df: DataFrame, renames: DataFrame | None) -> DataFrame:
     return record_address(df, renames).select(F.col("rec_id").alias("id"), F.col("load_no").cast("bigint").alias("load"), "address", day.alias("day"), "name", "description")
 
 
-def _slim(records: DataFrame) -> DataFrame:
-    """(id, load, address, day): what the look-ups need, written once; an address is its 16-byte digest from here on, which is a quarter of its length."""
-    return shared_table(records.select("id", "load", F.unhex(F.md5("address")).alias("address"), "day"), "records")
+def _known_before(rows: DataFrame) -> DataFrame:
+    """(address, load, latest, prior): for each address and load what earlier loads hold, from (address, load, day, first); null where they hold nothing."""
+    w = W.partitionBy("address").orderBy("load").rangeBetween(W.unboundedPreceding, -1)
+    return rows.select("address", "load", F.max("day").over(w).alias("latest"), F.min("first").over(w).alias("prior"))
 
 
-def _by_address(records: DataFrame) -> DataFrame:
-    return records.where("address is not null").groupBy("address", "load").agg(F.max("day").alias("day"), F.min("id").alias("first"))
+def _two_least(rows: DataFrame) -> DataFrame:
+    """Of (cls, load, tag, first), with one row a tag, the two with the least `first` of each class and load."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("cls", "load").orderBy("first", "tag"))).where("place <= 2").drop("place")
 
 
-def _old_addresses(records: DataFrame, seen: DataFrame) -> DataFrame:
-    """(id, prior): records whose address earlier loads hold at the same or a later day."""
-    have, want = seen.alias("h"), records.select("address", "load").distinct().alias("w")
-    before = want.join(have, (F.col("h.address") == F.col("w.address")) & (F.col("h.load") < F.col("w.load"))).groupBy("w.address", "w.load").agg(F.max("h.day").alias("latest"), F.min("h.first").alias("prior"))
-    return records.select("id", "load", "address", "day").join(before, ["address", "load"]).where("day <= latest").select("id", "prior")
+def _partners(mine: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, prior): records of `mine` with a partner at another address in an earlier load; prior is the least such partner.
 
+    `members` has (cls, load, tag, first), a tag being an address or, without one, a record. Of each class and load it has the two least partners with
+    differing tags, which are enough to answer for any address, so nothing grows with the square of a class.
+    """
+    to = links.select(F.col("a").alias("o"), F.col("b").alias("cls")).unionByName(links.select(F.col("b").alias("o"), F.col("a").alias("cls")))
+    near = to.join(members.withColumnRenamed("cls", "o"), "o").select("cls", F.col("load").alias("was"), "tag", "first").unionByName(members.withColumnRenamed("load", "was"))
+    probe = mine.where("cls is not null").select("cls", "load").distinct()
+    found = near.join(probe, "cls").where("was < load").groupBy("cls", "load", "tag").agg(F.min("first").alias("first"))
+    answers = _two_least(found).groupBy("cls", "load").agg(F.min(F.struct("first", "tag")).alias("x"), F.max("first").alias("y"))
+    other = F.when(~F.col("x.tag").eqNullSafe(F.col("address")), F.col("x.first")).otherwise(F.when(F.col("y") > F.col("x.first"), F.col("y")))
+    return mine.join(answers, ["cls", "load"]).select("id", other.alias("prior")).where("prior is not null")
 
-def _other_address(records: DataFrame, members: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, prior): records with a partner at another address in an earlier load; prior is the least such partner.
 
-    `known` has (cls, load, address, first). Of each class and load the two least partners with differing addresses
-    are enough to answer for any address, so nothing grows with the square of a class.
-    """
-    tag = F.coalesce("address", F.col("first").cast("string").cast("binary"))
-    k = known.withColumn("tag", tag)
-    best = k.groupBy("cls", "load").agg(F.min(F.struct("first", "tag")).alias("m"))
-    second = k.join(best, ["cls", "load"]).where(F.col("tag") != F.col("m.tag")).groupBy("cls", "load").agg(F.min(F.struct("first", "tag")).alias("m"))
-    # tables that are used more than once are written, else each use computes them anew
-    two = shared_table(best.unionByName(second), "two")
-    mine = shared_table(records.select("id", "load", "address").join(members, "id"), "mine")
-    probe = mine.select("cls", "load").distinct()
-    to = links.select(F.col("a").alias("cls"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("o"))).unionByName(probe.select("cls", F.col("cls").alias("o")).distinct())
-    found = shared_table(to.join(two.select(F.col("cls").alias("o"), F.col("load").alias("was"), "m"), "o").join(probe, "cls").where("was < load").groupBy("cls", "load", "m.tag").agg(F.min("m.first").alias("first")), "partners")
-    top = shared_table(found.groupBy("cls", "load").agg(F.min(F.struct("first", "tag")).alias("x")), "first_partners")
-    next_ = found.join(top, ["cls", "load"]).where(F.col("tag") != F.col("x.tag")).groupBy("cls", "load").agg(F.min("first").alias("y"))
-    answers = top.join(next_, ["cls", "load"], "left")
-    return mine.join(answers, ["cls", "load"]).select("id", F.when(F.col("x.tag").eqNullSafe(F.col("address")), F.col("y")).otherwise(F.col("x.first")).alias("prior")).where("prior is not null")
-
-
-def _merge(old: DataFrame, near: DataFrame) -> DataFrame:
-    return old.unionByName(near).groupBy("id").agg(F.min("prior").alias("prior")).select(F.col("prior").alias("prior_rec_id"), F.col("id").alias("rec_id"))
-
-
-def nothing_new(records: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, most_bits: tuple[int, int, int] = MOST_DIFFERENT_BITS) -> DataFrame:
-    """(prior_rec_id, rec_id): the records of all loads that bring nothing new against the loads before theirs.
-
-    The result is that of checking and appending load by load; here all loads are looked up in one pass.
-    """
-    classed = fp.word_classes(records, "id", "name", "description", words_in="description", least_words=least_words)
-    names = fp.class_names(classed)
-    reps = fp.representatives(classed, names)
-    slim = _slim(records)
-    members = shared_table(fp.class_members(classed, names), "members")
-    links = shared_table(_links(fp.block_rows(reps), None, reps, threshold, most_bits), "links")
-    # a class without link or second member can't bring a partner
-    linked = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
-    some = linked.unionByName(members.groupBy("cls").agg(F.count("*").alias("m")).where("m > 1").select("cls")).distinct()
-    members = members.join(some, "cls").select("id", "cls")
-    known = shared_table(slim.join(members, "id").groupBy("cls", "load", "address").agg(F.min("id").alias("first")), "known")
-    return _merge(_old_addresses(slim, shared_table(_by_address(slim), "addresses")), _other_address(slim, members, links, known))
-
-
-def _links(rows: DataFrame, old_rows: DataFrame | None, texts: DataFrame, threshold: float, most_bits: tuple[int, int, int]) -> DataFrame:
-    """(a, b, similarity) of the classes behind `rows`, among themselves and, if given, with those behind `old_rows`."""
-    at = [(64, 64 - most_bits[0])]
-    pairs = fp.candidate_pairs(rows, at)
-    if old_rows is not None:
-        pairs = pairs.unionByName(fp.candidate_pairs(rows, at, others=old_rows)).repartition("a").distinct()
-    return fp.verified_pairs(fp.pruned_pairs(pairs, texts, threshold, [(128, 128 - most_bits[1]), (192, 192 - most_bits[2])]), texts, threshold)
+def nothing_new(records: DataFrame, **params) -> DataFrame:
+    """(prior_rec_id, rec_id): the records of all loads that bring nothing new against the loads before theirs, by an index made for the purpose."""
+    return HistoryIndex(records.sparkSession, shared_folder(records.sparkSession, "history")).check_loads(records, **params)
 
 
 class HistoryIndex:
-    """Everything accepted so far, in a folder that all executors share; each batch touches only its own matches.
+    """Everything accepted so far, in a folder that all executors share.
+
+    Tables: `prints` (k0, k1, cls, hashes and the fingerprint of each class of equal word sets, with its rotated blocks), `links` (a, b),
+    `addresses` (address, load, day, first), `members` (cls, load, tag, first: the two least of each class and load). Fingerprints are made of new classes only. Of the history a batch scans the
+    narrow columns that it looks up (names, blocks, addresses), which a small batch is sent to instead of their being shuffled; everything else is
+    first reduced to the classes and addresses that were hit.
 
-    Tables: `addresses` (address, load, day, first), `classes` (key, cls, hashes), `blocks` (block, sketch, cls), `links`
-    (a, b), `members` (cls, load, address, first). A batch that failed half-way may be checked again: rows are
-    written under the batch's load number, which a second run overwrites.
+    A batch that failed half-way may be checked again: rows are written under the batch's greatest load number, which a second run overwrites.
     """
 
     TABLES = {
-        "addresses": "address binary, day int, first bigint, load bigint",
-        "classes": "key binary, cls bigint, hashes array<bigint>, load bigint",
-        "blocks": "block bigint, sketch bigint, cls bigint, load bigint",
-        "links": "a bigint, b bigint, load bigint",
-        "members": "cls bigint, address binary, first bigint, load bigint",
+        "addresses": "address binary, load bigint, day int, first bigint, batch bigint",
+        "prints": f"k0 bigint, k1 bigint, cls bigint, hashes array<bigint>, {fp.FINGERPRINT}, batch bigint",
+        "links": "a bigint, b bigint, batch bigint",
+        "members": "cls bigint, load bigint, tag binary, first bigint, batch bigint",
     }
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _read(self, name: str) -> DataFrame:
+    def _read(self, name: str, batch: int, own: bool = False) -> DataFrame | None:
+        """The batch's own rows, or those of all other batches; None if there are none to read."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], self.TABLES[name])
-        return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.folder}/{name}")
-
-    def _write(self, name: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(f"{self.folder}/{name}")
-
-    def check(self, records: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, most_bits: tuple[int, int, int] = MOST_DIFFERENT_BITS) -> DataFrame:
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        there = {s.getPath().getName() for s in files.listStatus(path)} if files.exists(path) else set()
+        mine = f"batch={batch}"
+        if not (mine in there if own else any(x.startswith("batch=") and x != mine for x in there)):
+            return self.spark.createDataFrame([], self.TABLES[name]).drop("batch") if own else None
+        got = self.spark.read.schema(self.TABLES[name]).parquet(f"{self.folder}/{name}")
+        return got.where(F.col("batch") == batch if own else F.col("batch") != batch).drop("batch")
+
+    def _write(self, name: str, df: DataFrame, batch: int) -> DataFrame:
+        writer = df.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").option("compression", "zstd")
+        write_table(writer.option("partitionOverwriteMode", "dynamic").partitionBy("batch"), self.spark, f"{self.folder}/{name}")
+        return self._read(name, batch, own=True)
+
+    def check(self, records: DataFrame, **params) -> DataFrame:
         """(prior_rec_id, rec_id) for one batch (one load number) against what was appended before; then appends the batch."""
-        loads = [r.load for r in records.select("load").distinct().limit(2).collect()]
-        if len(loads) > 1:
+        if len(records.select("load").distinct().limit(2).collect()) > 1:
             raise ValueError("one batch has one load number")
-        if not loads:
+        return self.check_loads(records, **params)
+
+    def check_loads(self, records: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, most_bits: tuple[int, int, int] = MOST_DIFFERENT_BITS) -> DataFrame:
+        """The same for a batch of any number of loads, each checked against the history and the batch's loads before it."""
+        batch = records.agg(F.max("load")).collect()[0][0]
+        if batch is None:
             return self.spark.createDataFrame([], "prior_rec_id bigint, rec_id bigint")
-        old = {t: self._read(t).where(F.col("load") != loads[0]) for t in self.TABLES}
-        classed = fp.word_classes(records, "id", "name", "description", words_in="description", least_words=least_words)
-        seen = old["classes"].select("key", F.col("cls").alias("was"))
-        fresh = shared_table(fp.class_names(classed).join(seen, "key", "left").withColumn("load", F.lit(loads[0])), "fresh")
-        names = fresh.where("was is null").drop("was")
-        new = shared_table(names.join(fp.representatives(classed, names), "cls"), "new")
-        members = classed.select("id", "key").distinct().join(fresh.select("key", F.coalesce("was", "cls").alias("cls")), "key").select("id", "cls")
-        rows = cut(fp.block_rows(new.select("cls", "hashes")))
-        texts = old["classes"].select("cls", "hashes").unionByName(new.select("cls", "hashes"))
-        made = cut(_links(rows, old["blocks"].select("block", "sketch", "cls"), texts, threshold, most_bits))
-        links = made.select("a", "b").unionByName(old["links"].select("a", "b"))
-        slim = _slim(records)
-        got = cut(_merge(_old_addresses(slim, old["addresses"]), _other_address(slim, members, links, old["members"])))
-        here = lambda df: df.withColumn("load", F.lit(loads[0]))
-        self._write("addresses", _by_address(slim).select("address", "day", "first", "load"))
-        self._write("members", here(slim.join(members, "id").groupBy("cls", "address").agg(F.min("id").alias("first"))))
-        self._write("classes", new.select("key", "cls", "hashes", "load"))
-        self._write("blocks", here(rows))
-        self._write("links", here(made.select("a", "b")))
-        return got
+        words = fp.word_set(F.col("name"), words_in=F.col("description"), least_words=least_words).alias("w")
+        # an address is its 16-byte digest from here on, which is a quarter of its length
+        stored = shared_table(records.select("id", "load", F.unhex(F.md5("address")).alias("address"), "day", words), "records")
+        given = stored.select("id", "load", "address", "day", "w.*")
+        old = {t: self._read(t, batch) for t in self.TABLES}
+
+        names = fp.class_names(given.where("k0 is not null"))
+        known = None
+        if old["prints"] is not None:
+            names = shared_table(names, "names")
+            known = shared_table(names.select("k0", "k1").join(old["prints"].select("k0", "k1", "cls"), ["k0", "k1"]), "known")
+            names = names.join(known.select("k0", "k1"), ["k0", "k1"], "left_anti")
+        prints = self._write("prints", fp.fingerprinted(names), batch)
+        of = prints.select("k0", "k1", "cls")
+        own = given.drop("hashes")
+        with_class = own.where("k0 is not null").join(of if known is None else of.unionByName(known), ["k0", "k1"])
+        without = own.where("k0 is null").withColumn("cls", F.lit(None).cast("bigint"))
+        mine = shared_table(with_class.unionByName(without).select("id", "load", "address", "day", "cls"), "mine")
+        forget(stored)
+
+        links = self._write("links", self._links(prints, old["prints"], threshold, most_bits), batch)
+        seen = self._write("addresses", mine.where("address is not null").groupBy("address", "load").agg(F.max("day").alias("day"), F.min("id").alias("first")), batch)
+        tag = F.coalesce("address", F.col("id").cast("string").cast("binary"))
+        members = self._write("members", _two_least(mine.where("cls is not null").groupBy("cls", "load", tag.alias("tag")).agg(F.min("id").alias("first"))), batch)
+
+        # of the history only what the batch's addresses and classes, and the classes linked to those, lead to
+        if old["addresses"] is not None:
+            seen = seen.unionByName(old["addresses"].join(seen.select("address").distinct(), "address", "left_semi"))
+        if known is not None:
+            if old["links"] is not None:
+                hit = known.select("cls")
+                links = links.unionByName(old["links"].join(hit.withColumnRenamed("cls", "a"), "a", "left_semi")).unionByName(old["links"].join(hit.withColumnRenamed("cls", "b"), "b", "left_semi")).distinct()
+            touched = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).unionByName(known.select("cls")).distinct()
+            members = members.unionByName(old["members"].join(touched, "cls", "left_semi"))
+        before = _known_before(seen).where("latest is not null")
+        again = mine.join(before, ["address", "load"]).where("day <= latest").select("id", "prior")
+        got = again.unionByName(_partners(mine, members, links)).groupBy("id").agg(F.min("prior").alias("prior"))
+        return shared_table(got.select(F.col("prior").alias("prior_rec_id"), F.col("id").alias("rec_id")), "nothing_new")
+
+    @staticmethod
+    def _links(prints: DataFrame, old: DataFrame | None, threshold: float, most_bits: tuple[int, int, int]) -> DataFrame:
+        """(a, b) of the new classes, among themselves and with the old ones."""
+        rows = fp.block_rows(prints)
+        if old is not None:
+            probe = rows.select("block").distinct()
+            rows = rows.unionByName(fp.block_rows(old, fresh=False).join(probe, "block", "left_semi"))
+        pairs = fp.candidate_pairs(rows, [(64, 64 - most_bits[0])])
+        if old is not None:
+            hit = shared_table(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "hit")
+            prints = prints.unionByName(old.join(hit, "cls", "left_semi"))
+        pruned = fp.pruned_pairs(pairs, prints, threshold, [(128, 128 - most_bits[1]), (192, 192 - most_bits[2])])
+        return fp.verified_pairs(pruned, prints, threshold).select("a", "b")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import fingerprints as fp
-from marlstone.session import cut, shared_table
+from marlstone.session import cut, forget, shared_table
 
 THRESHOLD, LEAST_WORDS, MISS = 0.7, 12, 0.001
 #: Rounds after which the search for components gives up with an error.
@@ -28,12 +28,14 @@ CHUNK = 256
 def similar_classes(df: DataFrame, id_col: str = "rec_id", name: str = "name", text: str = "description", threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, cls) of each record that takes part; (a, b, similarity) of linked classes, a < b."""
     classed = fp.word_classes(df, id_col, name, text, words_in=text, least_words=least_words)
-    names = fp.class_names(classed)
-    reps = fp.representatives(classed, names)
-    members = shared_table(fp.class_members(classed, names), "members")
-    bounds = fp.posterior_bounds(threshold, miss)
-    pairs = fp.pruned_pairs(fp.candidate_pairs(fp.block_rows(reps), bounds), reps, threshold, fp.posterior_bounds(threshold, miss, (128, 192)))
-    links = shared_table(fp.verified_pairs(pairs, reps, threshold), "links")
+    prints = shared_table(fp.fingerprinted(fp.class_names(classed)), "prints")
+    members = shared_table(classed.select("id", "k0", "k1").distinct().join(prints.select("k0", "k1", "cls"), ["k0", "k1"]).select("id", "cls"), "members")
+    forget(classed)
+    candidates = fp.candidate_pairs(fp.block_rows(prints), fp.posterior_bounds(threshold, miss))
+    pairs = fp.pruned_pairs(candidates, prints, threshold, fp.posterior_bounds(threshold, miss, (128, 192)))
+    links = shared_table(fp.verified_pairs(pairs, prints, threshold), "links")
+    forget(prints)
+    forget(candidates)
     return members, links
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.core import let
-from marlstone.session import small_rows
+from marlstone.session import forget, shared_table, small_rows
 
 #: Renames of at most this many rows are read to the driver once and folded into the plan;
 #: longer lists are resolved and joined as tables.
@@ -61,17 +61,21 @@ def close_renames(pairs: dict[str, str]) -> dict[str, str]:
 
 
 def _closed_table(renames: DataFrame) -> DataFrame:
-    """The same for a long list: pointers are doubled until none moves (chains of 2^40 at most)."""
-    from marlstone.session import cut
-
-    step = cut(renames.groupBy("old").agg(F.min("new").alias("new")))
-    for _ in range(40):
-        hop = step.select(F.col("old").alias("new"), F.col("new").alias("to"))
-        nxt = cut(step.join(hop, "new", "left").select("old", F.coalesce("to", "new").alias("new"), F.col("to").isNotNull().alias("moved")))
-        step = nxt.select("old", "new")
+    """The same for a long list, by doubling pointers; `low` is the least name that was passed on the way.
+
+    Once a pointer has gone further than there are names, it can only still move on a circle, all names of which lie on its next way.
+    """
+    step = shared_table(renames.groupBy("old").agg(F.min("new").alias("new")).select("old", "new", F.col("new").alias("low")), "renames")
+    for _ in range(step.count().bit_length() + 1):
+        hop = step.select(F.col("old").alias("new"), F.col("new").alias("to"), F.col("low").alias("_low"))
+        both = step.join(hop, "new", "left")
+        nxt = shared_table(both.select("old", F.coalesce("to", "new").alias("new"), F.least("low", F.coalesce("_low", "low")).alias("low"), F.col("to").isNotNull().alias("moved")), "renames")
+        forget(step)
+        step = nxt
         if nxt.where("moved").limit(1).count() == 0:
-            break
-    return step
+            return nxt.select("old", "new")
+    circle = step.select(F.col("old").alias("new"), F.col("low").alias("_low"))
+    return step.join(circle, "new", "left").select("old", F.coalesce("_low", "new").alias("new"))
 
 
 def with_address(df: DataFrame, raw: Column, renames: DataFrame | None = None, out: str = "address") -> DataFrame:

@@ -66,7 +66,7 @@ def merge_records(records: DataFrame, order: str = "ord", last_sources: tuple[st
     parts = {"source": ordered_items(r, "key", F.col("source"), order, "source")}
     parts["categories"] = sorted_items(r, "key", F.concat(F.coalesce("categories", none), F.coalesce("topics", none) if "topics" in have else none), "categories")
     parts["platforms"] = sorted_items(r, "key", F.coalesce("platforms", none), "platforms")
-    trig = r.select("key", order, F.posexplode(F.coalesce("triggers", none)).alias("_p", "_t")).withColumn("_at", F.col(order) * 1024 + F.col("_p"))
+    trig = r.select("key", order, F.posexplode(F.coalesce("triggers", none)).alias("_p", "_t")).withColumn("_at", F.struct(order, "_p"))
     parts["triggers"] = ordered_items(trig, "key", F.col("_t"), "_at", "triggers")
     for name, part in parts.items():
         out = out.join(part, "key", "left").withColumn(name, F.coalesce(name, none))

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Shuffle files of a classic query go when the query ends.
@@ -114,6 +115,24 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_parts(spark: SparkSession, rows: int, each: int = 2_000_000) -> int:
+    """How many tasks `rows` rows need at `each` a task, at least the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def hash_sample(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """At most `n` rows that differ in the columns `by`: those with the smallest hashes, one a hash; repeated rows count once.
+
+    Rows are cut by a threshold of their hash before they are compared, so that tasks send some 1.5 n rows in all, however many tasks there are.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(*by))
+    total = hashed.agg(F.approx_count_distinct("_h")).collect()[0][0]
+    if total > 2 * n:
+        hashed = hashed.where(F.col("_h") < F.lit(int(-(2**63) + 2**64 * (1.5 * n / total))))
+    rest = F.struct(*df.columns)
+    return hashed.groupBy("_h").agg(F.min(rest).alias("_r")).orderBy("_h").limit(n).select("_r.*")
+
+
 def small_rows(df: DataFrame, bound: int) -> list | None:
     """The rows of `df` if there are at most `bound`, else None. At most bound + 1 rows reach the driver."""
     rows = df.limit(bound + 1).collect()

@@ -1,13 +1,13 @@
-"""Writers: records with a gate, manifests, atomic replacement, index files, rendered reports (SK1-SK17)."""
+"""Writers: records with a gate, manifests, atomic replacement, index files, rendered reports (SK1, SK2, SK8, SK10-SK12, SK16, SK17, SC13, AG15)."""
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.session import small_rows
 from marlstone.sources.jsonl import AlignmentError, QualityGateError
 
 
@@ -73,25 +73,39 @@ def hit_text(place: Column, name: Column, stars: Column, score: Column, descript
     return F.concat_ws("\n", head, F.concat(F.lit("   "), description), F.concat(F.lit("   "), url))
 
 
-_BLOCK = re.compile(r"(<!-- stats:(?P<name>[^:]+):start -->).*?(<!-- stats:(?P=name):end -->)", re.S)
-
-
-def rewrite_blocks(text: str, blocks: dict[str, str]) -> tuple[str, list[str]]:
-    """A text with the named blocks replaced (SK12), and the names found; unknown names stay as they are. A block of several lines gets lines of its own."""
-    found: list[str] = []
-
-    def put(m: re.Match) -> str:
-        if m["name"] not in blocks:
-            return m[0]
-        found.append(m["name"])
-        body = blocks[m["name"]]
-        return f"{m[1]}\n{body}\n{m[3]}" if "\n" in body or "\n" in m[0] else f"{m[1]}{body}{m[3]}"
-
-    return _BLOCK.sub(put, text), found
+def rewrite_blocks(text: str, blocks: dict[str, str], mark: str = "<!-- stats:{name}:{end} -->") -> tuple[str, list[str]]:
+    """A text with what stands between the marks of each named block replaced (SK12), and the names found, in the order of the text.
+
+    `mark` is the form of both marks, `end` being start and end. Names that aren't given, and marks without their partner, stay as they are. A
+    block that has or had several lines gets lines of its own.
+    """
+    spans: list[tuple[int, int, str]] = []
+    for name in blocks:
+        begin, close = (mark.format(name=name, end=e) for e in ("start", "end"))
+        at = text.find(begin)
+        while at >= 0:
+            inside = at + len(begin)
+            stop = text.find(close, inside)
+            if stop < 0:
+                break
+            spans.append((inside, stop, name))
+            at = text.find(begin, stop + len(close))
+    pieces, names, last = [], [], 0
+    for inside, stop, name in sorted(spans):
+        if inside < last:
+            continue
+        several = "\n" in blocks[name] or "\n" in text[inside:stop]
+        pieces += [text[last:inside], f"\n{blocks[name]}\n" if several else blocks[name]]
+        names.append(name)
+        last = stop
+    return "".join([*pieces, text[last:]]), names
 
 
 def release_markdown(deltas: DataFrame, most: int = 10_000) -> str:
-    """The release log as a table, newest first (SK11); one row a release is read to the driver."""
-    rows = deltas.orderBy(F.desc("date")).limit(most).collect()
+    """The release log as a table, newest first (SK11); one row a release is read to the driver, and more than `most` are refused."""
+    rows = small_rows(deltas, most)
+    if rows is None:
+        raise ValueError(f"more than {most} releases")
+    rows.sort(key=lambda r: (r.date is not None, r.date), reverse=True)
     sign = lambda d: "—" if d is None else f"{d:+,}"
     return "\n".join(["| Date | Skills | Change |", "|---|---|---|", *(f"| {r.date} | {'—' if r.skill_count is None else f'{r.skill_count:,}'} | {sign(r.delta)} |" for r in rows)])

@@ -1,4 +1,4 @@
-"""Parts of documents: front matter, link lists, HTML, recorded trees and contents (SC22, SC26, SC32-SC39, FN9-FN12, FN20, FN21, WN3)."""
+"""Parts of documents: front matter, link lists, HTML, recorded trees and contents (SC22, SC26, SC33-SC35, SC39, FN9, FN11, FN12, FN20, FN21, PJ12, PR7, WN3)."""
 
 from __future__ import annotations
 

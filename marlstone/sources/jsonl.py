@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.session import small_rows
+
 RAW_SCHEMA = """repo_url string, name string, description string, source string,
  raw_metadata struct<stars:bigint, pushed_at:string, default_branch:string, skill_md_url:string, platforms:array<string>, categories:array<string>,
  topics:array<string>, triggers:array<string>, safety_scan:boolean, safety_scan_date:string, rank:string, overall_score:double,
@@ -13,6 +15,7 @@ RAW_SCHEMA = """repo_url string, name string, description string, source string,
 
 #: A file is corrupt with more malformed lines than both.
 MAX_BAD_LINES, MAX_BAD_SHARE = 5, 0.10
+MANIFEST_LINES = 10_000
 
 
 class CorruptFileError(ValueError):
@@ -100,9 +103,12 @@ def read_object_cache(spark: SparkSession, path: str, value_schema: str) -> Data
 
 
 def read_manifest(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> dict[str, str]:
-    """`key: value` lines, split at the first colon (SC14); a required key that is missing raises KeyError. A manifest is a few lines."""
-    rows = spark.read.text(path).where(F.col("value").contains(":")).select(F.trim(F.substring_index("value", ":", 1)).alias("k"), F.trim(F.regexp_replace("value", r"^[^:]*:", "")).alias("v")).limit(10_000).collect()
-    out = {r.k: r.v for r in rows}
+    """`key: value` lines, split at the first colon (SC14); a required key that is missing raises KeyError, more than MANIFEST_LINES entries CorruptFileError."""
+    rows = spark.read.text(path).where(F.col("value").contains(":")).select(F.trim(F.substring_index("value", ":", 1)).alias("k"), F.trim(F.regexp_replace("value", r"^[^:]*:", "")).alias("v"))
+    got = small_rows(rows, MANIFEST_LINES)
+    if got is None:
+        raise CorruptFileError(f"{path} has more than {MANIFEST_LINES} entries")
+    out = {r.k: r.v for r in got}
     for k in required:
         if k not in out:
             raise KeyError(f"{path} has no {k}")

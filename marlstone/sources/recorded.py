@@ -1,4 +1,4 @@
-"""Recorded service responses as a data source (SC18-SC25, SC29-SC31, JN10, PR12).
+"""Recorded service responses as a data source (SC18-SC21, SC29-SC31, JN10, PR12).
 
 Live crawling isn't part of the engine; a connector's responses are recorded as JSON pages and read with the semantics of the live calls: one
 input partition a shard, pages in order until a page is empty, the stated total or the limit is reached, items distinct within a shard.

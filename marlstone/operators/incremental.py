@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from marlstone.functions.text import squash
-from marlstone.session import shared_table
+from marlstone.session import row_parts, shared_table
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -97,8 +97,13 @@ def carry_forward(df: DataFrame, group: str, order: str, value: Column, out: str
     return df.withColumn(out, F.last(value, ignorenulls=True).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
 
 
-def numbered(df: DataFrame, order: str, batch: int, parts: int = 64) -> DataFrame:
-    """Adds row_no from 0 and batch_no (WN6). Rows are sorted by range, counted a range and shifted; no task sees them all."""
+def numbered(df: DataFrame, order: str, batch: int, parts: int | None = None) -> DataFrame:
+    """Adds row_no from 0 and batch_no (WN6). Rows are sorted by range, counted a range and shifted; no task sees them all.
+
+    There are as many ranges as the number of rows asks for; only the counts of the ranges, one row each, meet in one task.
+    """
+    if parts is None:
+        parts = row_parts(df.sparkSession, df.count())
     # written once: the bounds of ranges are sampled, and every use must see the same ones
     ranged = shared_table(df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_m"), F.lit(1).alias("_s"))

@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marlstone.session import shared_table
+from marlstone.session import row_parts, shared_table
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str] = (), partitions: int = 64) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, by: list[str] = (), partitions: int | None = None) -> DataFrame:
     """(by..., value, share, above): for each distinct value its mean rank as a share of the rows, between 0 and 1, and the rows
     with a greater one; nulls are left out.
 
     Equal values are counted before anything is sorted, values are sorted by range, and each range is shifted by
-    the rows before it: no task sees a whole column, and a value that a third of all rows have is one row.
+    the rows before it: no task sees a whole column, and a value that a third of all rows have is one row. There are as many
+    ranges as the number of rows asks for; `df` is counted for that, so it should be a written table.
     """
     keys = list(by)
+    if partitions is None:
+        partitions = row_parts(df.sparkSession, df.count())
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
     # written once: the bounds of ranges are sampled, and every use must see the same ones
     ranged = shared_table(counts.repartitionByRange(partitions, *keys, "_value").withColumn("_range", F.spark_partition_id()), "ranges")

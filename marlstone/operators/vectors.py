@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marlstone.session import ship
+from marlstone.session import hash_sample, ship
 
 QUERY_BLOCK = 2_048
 #: Rows from which an index is built with inverted lists, and how many there are.
@@ -47,12 +47,17 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of the k best columns of each row; equal scores by the smaller id."""
-    scores = np.round(scores, 6)
     k = min(k, scores.shape[1])
-    if not k:
+    if not k or not len(scores):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-    return np.repeat(np.arange(len(scores)), k), ids[order].reshape(-1), np.take_along_axis(scores, order, 1).reshape(-1)
+    # only what can be among the k best after rounding is sorted
+    least = np.partition(scores, -k, axis=1)[:, -k]
+    row, col = np.nonzero(scores >= (least - 2e-6)[:, None])
+    score, hit = np.round(scores[row, col], 6), ids[col]
+    order = np.lexsort((hit, -score, row))
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    best = order[place < k]
+    return row[best], hit[best], score[best]
 
 
 def _blocks(queries: DataFrame, id_col: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -125,17 +130,24 @@ class ScalarQuantizer:
         return self.lo + (codes + 0.5) / 255 * self.span
 
 
+def _sample(vectors: DataFrame, vector: str, id_col: str, n: int) -> np.ndarray:
+    """At most n vectors, those with the smallest id hashes."""
+    rows = hash_sample(vectors.where(F.col(vector).isNotNull()).select(id_col, vector), n, id_col)
+    return np.array([r[0] for r in rows.select(vector).collect()], np.float64)
+
+
 def train_centroids(vectors: DataFrame, lists: int, vector: str = "embedding", id_col: str = "vec_id", sample: int = TRAIN_ROWS, rounds: int = 12) -> np.ndarray:
     """Centroids by k-means over a bounded sample: the `sample` rows with the smallest id hashes."""
-    got = vectors.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample).select(vector).collect()
-    x = np.array([r[0] for r in got], np.float64)
+    x = _sample(vectors, vector, id_col, sample)
     lists = max(1, min(lists, len(x)))
+    if not len(x):
+        return np.zeros((1, 0))
     c = x[np.linspace(0, len(x) - 1, lists).astype(int)].copy()
     for _ in range(rounds):
         near = np.argmin(((c * c).sum(1)[None] - 2 * x @ c.T), 1)
-        for j in range(lists):
-            if (near == j).any():
-                c[j] = x[near == j].mean(0)
+        order = np.argsort(near, kind="stable")
+        first = np.flatnonzero(np.diff(near[order], prepend=-1))
+        c[near[order][first]] = np.add.reduceat(x[order], first, axis=0) / np.diff(first, append=len(x))[:, None]
     return c
 
 
@@ -144,8 +156,7 @@ def probes_needed(vectors: DataFrame, c: np.ndarray, vector: str = "embedding",
 
     In the whole table the nearest rows lie nearer, so that no fewer of them stand in the lists that are probed.
     """
-    got = vectors.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_ROWS).select(vector).collect()
-    x = np.array([r[0] for r in got], np.float64)
+    x = _sample(vectors, vector, id_col, TRAIN_ROWS)
     if len(x) < 2:
         return len(c)
     own = np.linspace(0, len(x) - 1, min(PROBE_QUERIES, len(x))).astype(int)
@@ -211,10 +222,14 @@ class VectorIndex:
                     if not len(b):
                         continue
                     x = quant.decode(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(b), -1))
-                    s = np.where(probe[:, b.column(1).to_numpy()], q @ x.T, -np.inf)
-                    i, hit, s = _best(s, b.column(0).to_numpy(), k)
-                    keep = np.isfinite(s)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i][keep]), pa.array(hit[keep]), pa.array(s[keep])], names=["query_id", "id", "score"])
+                    hits, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+                    # a list is scored for the queries that probe it only
+                    order = np.argsort(at, kind="stable")
+                    for rows in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                        mine = np.flatnonzero(probe[:, at[rows[0]]])
+                        if len(mine):
+                            i, hit, s = _best(q[mine] @ x[rows].T, hits[rows], k)
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[mine[i]]), pa.array(hit), pa.array(s)], names=["query_id", "id", "score"])
 
             probed = sorted({int(x) for x in near.reshape(-1)})
             rows = self.table if len(probed) == len(c) else self.table.where(F.col("list_id").isin(probed))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from marlstone.functions.text import embedding_text, plain_words, source_key
 from marlstone.functions.urls import canonical_key, owner_repo, stable_id, subtree_hint
@@ -276,25 +277,18 @@ def update_needed(spark, d):
     return r.select("date", stats.needs_update(F.lit("2025-06-30"), F.concat(F.lit("index-"), "date")).alias("stale"))
 
 
-@query("""SELECT rec_id, CASE WHEN s >= 10000 THEN CAST(floor(s / 1000) AS BIGINT) || 'k' WHEN s < 1000 THEN CAST(s AS VARCHAR) END AS label FROM (SELECT rec_id, raw_metadata.stars AS s FROM skillsmp) WHERE s < 1000 OR s >= 10000""")
+@query("""SELECT rec_id, CASE WHEN s >= 10000 THEN (s // 1000) || 'k' WHEN s >= 1000 THEN (t // 10) || '.' || (t % 10) || 'k' ELSE CAST(s AS VARCHAR) END AS label
+ FROM (SELECT rec_id, s, s // 100 + CASE WHEN s % 100 > 50 OR s % 100 = 50 AND (s // 100) % 2 = 1 THEN 1 ELSE 0 END AS t FROM (SELECT rec_id, raw_metadata.stars AS s FROM skillsmp))""")
 def star_labels(spark, d):
-    """FN15, FN16"""
-    s = flat(spark, d).where("stars < 1000 or stars >= 10000")
-    return s.select("rec_id", stats.short_stars(F.col("stars")).alias("label"))
-
-
-@query()
-def star_labels_all(spark, d):
-    """FN15, FN16: every record, also those of 1,000 to 9,999 stars and without stars, which the SQL of star_labels leaves out"""
+    """FN15, FN16: every record; tenths of thousands are rounded half to even"""
     return flat(spark, d).select("rec_id", stats.short_stars(F.col("stars")).alias("label"))
 
 
 @query(f"WITH {MERGED}, h AS (SELECT {_case(stats.DOC_BUCKETS, 'stars')} AS bucket, count(*) AS n FROM merged GROUP BY 1) SELECT bucket, repeat('█', CAST(greatest(1, round_even(100.0 * n / sum(n) OVER () / 100 * 20, 0)) AS INT)) AS bar FROM h")
 def bars(spark, d):
     """FN14"""
-    h = histogram_docs(spark, d)
-    total = merged(spark, d).count()
-    return h.select("bucket", stats.bar(100.0 * F.col("n") / F.lit(total)).alias("bar"))
+    h = histogram_docs(spark, d).withColumn("total", F.sum("n").over(W.partitionBy(F.lit(0))))  # one row a bucket
+    return h.select("bucket", stats.bar(100.0 * F.col("n") / F.col("total")).alias("bar"))
 
 
 # --- increments --------------------------------------------------------------------------------------
@@ -381,7 +375,7 @@ def carried_forward(spark, d):
 def shard_names(spark, d):
     """JN10: a fixed grid of two small fixed tables"""
     r, n = table(spark, d, "region"), table(spark, d, "nation")
-    return r.select("r_name", F.lit(1).alias("_")).join(n.select("n_name", F.lit(1).alias("_")), "_").select(F.concat_ws("|", "r_name", "n_name").alias("shard"))
+    return r.select("r_name").crossJoin(n.select("n_name")).select(F.concat_ws("|", "r_name", "n_name").alias("shard"))
 
 
 @query("SELECT l_returnflag, CAST(floor(l_quantity / 10) AS BIGINT) AS size_bucket, count(*) AS total, count(*) < 950 AS exhausted FROM lineitem GROUP BY ALL")
@@ -420,10 +414,10 @@ def html_links(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(docs_.html_links(F.coalesce("text", F.lit(""))), " ").alias("links"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '<!--[^>]*-->', '<!-- removed -->', 'g') AS text FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, regexp_replace(text, '<!--[^>]*-->', '<!-- removed -->', 'g') AS text FROM documents")
 def comment_rewrite(spark, d):
     """SK12, FN5"""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", "<!--[^>]*-->", "<!-- removed -->").alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "<!--[^>]*-->", "<!-- removed -->").alias("text"))
 
 
 @query("SELECT doc_id, coalesce(contains(text, '---') OR length(text) > 200, false) AS ok FROM documents")

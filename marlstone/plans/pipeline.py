@@ -1,10 +1,11 @@
-"""The catalog from raw files to search: normalize, embed, build, update, search (CT5-CT7, CT11, SK2-SK7, SK9, SC12, SC38, SC40, TK8-TK10, FN23, CT12, CT17).
+"""The catalog from raw files to search: normalize, embed, build, update, search (CT5-CT7, CT11, SK2, SK3, SK5-SK7, SK9, SC12, SC38, SC40, SM2, TK8-TK10, FN23, CT12, CT17).
 
 Rows are matched by keys, never by position; each stage is a table that the next one reads.
 """
 
 from __future__ import annotations
 
+import base64
 import datetime
 import hashlib
 import io
@@ -13,6 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +22,10 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import embedding_text
 from marlstone.operators import merge
 from marlstone.operators import vectors as vec
-from marlstone.operators.incremental import new_rows, split_by_cache
+from marlstone.operators.incremental import new_rows, numbered, split_by_cache
 from marlstone.session import shared_table, ship
 from marlstone.sinks import writers
-from marlstone.sources.jsonl import QualityGateError, exists, scan_records
+from marlstone.sources.jsonl import QualityGateError, exists, read_progress, scan_records
 
 BATCH = 128
 
@@ -48,8 +50,6 @@ def normalize(spark: SparkSession, paths: list[str], renames: list[tuple[str, st
         m["triggers"].alias("triggers"), m["platforms"].alias("platforms"), m["skill_md_url"].alias("skill_md_url"), m["rank"].alias("rank"), m["overall_score"].alias("score"), m["safety_scan"].alias("safety_scan"), m["safety_scan_date"].alias("safety_scan_date"), m["official"].alias("official"),
     )
     # the order within files is a struct; merging needs one number
-    from marlstone.operators.incremental import numbered
-
     one = shared_table(merge.merge_records(numbered(wide, "ord", BATCH).drop("ord", "batch_no").withColumnRenamed("row_no", "ord"), last_sources=last_sources), "merged")
     reason = merge.drop_reason(F.col("description"), F.col("stars"), min_stars)
     text = embedding_text(F.col("name"), F.col("description"), F.col("categories"), F.col("platforms"), F.col("triggers"))
@@ -104,6 +104,40 @@ def embed(rows: DataFrame, embedder: Callable[[list[str]], np.ndarray], key: str
     return made if hits is None else hits.unionByName(made)
 
 
+def embed_resumable(rows: DataFrame, embedder: Callable[[list[str]], np.ndarray], progress: str, key: str = "id", text: str = "embedding_text", batch: int = BATCH) -> DataFrame:
+    """(id, batch_idx, embedding) by way of a progress log (SK5, SM2): batches that the log has are read, only the others are embedded and appended.
+
+    Batches are numbered in the order of the key, so a run that broke off goes on where it was, as long as the rows are the same; `finish` deletes the log.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    need = numbered(rows.select(F.col(key).cast("string").alias("id"), F.col(text).alias("t")), "id", batch).select("id", "t", "row_no", F.col("batch_no").cast("int").alias("batch_idx"))
+    todo = need.join(read_progress(spark, progress).select("batch_idx"), "batch_idx", "left_anti")
+
+    def run(_, part):
+        part = part.sort_values("row_no")
+        v = embedder([t or "" for t in part["t"]]).astype("<f4")
+        ids = list(part["id"])
+        return pd.DataFrame({"batch_idx": [int(part["batch_idx"].iloc[0])], "record_ids": [ids], "vectors_b64": [base64.b64encode(v.tobytes()).decode()]})
+
+    made = todo.groupBy("batch_idx").applyInPandas(run, "batch_idx int, record_ids array<string>, vectors_b64 string")
+    made.write.mode("append").json(progress)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, ids, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                v = np.frombuffer(raw, "<f4").reshape(len(ids), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([n] * len(ids), pa.int32()), pa.array(list(v), pa.list_(pa.float32()))], names=["id", "batch_idx", "embedding"])
+
+    return read_progress(spark, progress).mapInArrow(unpack, "id string, batch_idx int, embedding array<float>")
+
+
+def finish(spark: SparkSession, progress: str) -> None:
+    """Deletes a progress log whose batches are all stored elsewhere (SK5)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(progress)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def import_npy(spark: SparkSession, data: bytes, ids: list[str]) -> DataFrame:
     """(id, embedding) of a small matrix file and its keys in order (SC12); their numbers must agree."""
     m = np.load(io.BytesIO(data), allow_pickle=False)

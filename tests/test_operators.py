@@ -80,7 +80,7 @@ def test_star_labels_of_every_record(spark, tmp_path):
     schema = f"rec_id bigint, repo_url string, name string, description string, source string, raw_metadata {meta}, desc_lang string, load_no int, crawled_at timestamp"
     df = spark.createDataFrame([(i, None, None, None, None, (v, None, None, None, None, None), None, 1, None) for i, v in rows], schema)
     df.write.parquet(str(tmp_path / "skillsmp.parquet"))
-    got = {r.rec_id: r.label for r in QUERIES["star_labels_all"](spark, str(tmp_path)).collect()}
+    got = {r.rec_id: r.label for r in QUERIES["star_labels"](spark, str(tmp_path)).collect()}
     assert got == {0: "999", 1: "1.0k", 2: "1.2k", 3: "1.4k", 4: "9.9k", 5: "10.0k", 6: "10k", 7: None}
 
 

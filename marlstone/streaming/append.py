@@ -1,4 +1,4 @@
-"""Streaming counterparts of the batch increments (SM1-SM5)."""
+"""Streaming counterparts of the batch increments (SM1, SM3)."""
 
 from __future__ import annotations
 

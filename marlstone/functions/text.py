@@ -46,11 +46,11 @@ def plain_words(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
-def learned_stock_phrases(df: DataFrame, text: str, name: str, min_share: float = 0.0005, min_rows: int = 20) -> list[str]:
+def learned_stock_phrases(df: DataFrame, text: str, name: str, min_share: float = 0.0005, min_rows: int = 3) -> list[str]:
     """Short texts that unrelated records share so often that they can't describe any of them.
 
     A phrase of at most eight words counts if it stands in `min_share` of all rows, in
-    `min_rows` rows at least, and in most of them under another name. At most 1 / min_share phrases can
+    `min_rows` rows at least (fewer can't be told from chance), and in most of them under another name. At most 1 / min_share phrases can
     fulfil that, which bounds what reaches the driver. Empty tables give none.
     """
     n = df.count()

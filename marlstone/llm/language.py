@@ -5,7 +5,8 @@ dictionary makes it smallest, and is rejected when the margin to the second is n
 their neighbours if those are among the close candidates; a text of rejected sentences only is compressed as a whole.
 
 The dictionaries hold given clean samples and sentences of a bounded sample of labelled rows (`LABELLED_ROWS`), kept where
-the clean samples don't contradict the label. A script that only some languages use leaves only those as candidates.
+the clean samples don't contradict the label. A script that only some languages use leaves only those as candidates; a single candidate is
+compared with compression without any dictionary, and a sentence in a script of none of the languages has the language `none`.
 
 Defined cases: null, blank and unusable texts have no segment; repeated rows are judged alike; very long texts
 are judged sentence by sentence; an empty table gives an empty result; further columns are ignored.
@@ -23,13 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import learned_stock_phrases, usable
-from marlstone.session import ship
+from marlstone.session import hash_sample, ship
 
 #: Bounds of what is read to the driver and of each dictionary's bytes.
 SAMPLE_ROWS, LABELLED_ROWS, DICTIONARY_BYTES = 20_000, 4_000, 24_000
 LEVEL, PER_BEGINNING = 3, 6
 #: A margin below this many bytes, or below this share of the smaller size, is narrow.
 NARROW_BYTES, NARROW_SHARE = 5, 0.06
+#: What stands for the language of a sentence that no dictionary makes smaller than no dictionary does.
+NONE = "none"
 
 # Usual names and three-letter codes of the languages.
 LABELS = {
@@ -90,14 +93,16 @@ def units(text: str) -> list[str]:
 
 
 def candidates(unit: str, languages: list[str]) -> list[str]:
-    """The languages whose script a unit is mostly written in."""
+    """The languages whose script a unit is mostly written in; none for a script that none of the known ones is written in."""
     if unit.isascii():
         return [x for x in languages if x not in ("ja", "zh", "ko", "ru")] or languages
     han, kana, hangul, cyrillic = (len(p.findall(unit)) for p in (_HAN, _KANA, _HANGUL, _CYRILLIC))
-    latin = len(_LATIN.findall(unit)) / 6  # names among CJK characters are Latin, and a letter says less than a character
+    latin = len(_LATIN.findall(unit))
+    other = len(_LETTERS.findall(unit)) - han - kana - hangul - cyrillic - latin
+    latin /= 6  # names among CJK characters are Latin, and a letter says less than a character
     most = max(han + kana, hangul, cyrillic, latin)
-    if not most:
-        return languages
+    if other > max(most, 6 * latin):
+        return []
     # Chinese has no kana
     some = ({"ja": 1} if kana else {"ja": 1, "zh": 1}) if most == han + kana else {"ko": 1} if most == hangul else {"ru": 1} if most == cyrillic else None
     got = [x for x in languages if (x in some if some else x not in ("ja", "zh", "ko", "ru"))]
@@ -124,6 +129,7 @@ class Judge:
         self.texts = {k: _within(v, bound) for k, v in texts.items() if v}
         self.languages = sorted(self.texts)
         self.compress = {}
+        self.plain = zs.ZstdCompressor(level=level, write_content_size=False, write_checksum=False).compress
         for k in self.languages:
             # what comes last is the cheapest to refer to: the clean samples, which are given first
             raw = b"\n".join(t.encode() for t in reversed(self.texts[k]))[-bound:]
@@ -134,9 +140,12 @@ class Judge:
     def sizes(self, unit: str) -> list[tuple[int, str]]:
         """(size, language), smallest first."""
         some = candidates(unit, self.languages)
-        if len(some) == 1:
-            return [(len(unit.encode()), some[0])]
         b = unit.lower().encode()
+        if not some:
+            return [(len(self.plain(b)), NONE)]
+        if len(some) == 1:
+            # against a language of the same script that isn't known: no dictionary at all
+            return sorted([(len(self.compress[some[0]](b)), some[0]), (len(self.plain(b)), NONE)])
         # of equal sizes Han characters alone are rather Chinese
         return sorted(((len(self.compress[k](b)), k) for k in some), key=lambda x: (x[0], x[1] == "ja", x[1]))
 
@@ -175,16 +184,17 @@ class Judge:
 
 
 def fit(samples: DataFrame, labelled: DataFrame | None, lang: str, sample: str, label: str, text: str) -> Judge:
-    """A judge from clean samples (at most SAMPLE_ROWS) and, if given, from LABELLED_ROWS labelled rows with the smallest text hashes."""
+    """A judge from clean samples (at most SAMPLE_ROWS) and, if given, from LABELLED_ROWS labelled rows of differing texts; those with the smallest hashes, so that each language has its share."""
     texts: dict[str, list[str]] = defaultdict(list)
-    for r in samples.select(F.col(lang).alias("k"), F.col(sample).alias("t")).where("k is not null and t is not null").orderBy("k", "t").limit(SAMPLE_ROWS).collect():
+    clean = samples.select(F.col(lang).alias("k"), F.col(sample).alias("t")).where("k is not null and t is not null")
+    for r in sorted(hash_sample(clean, SAMPLE_ROWS, "k", "t").collect()):
         texts[r.k].append(r.t.lower())
     judge = Judge(texts)
     if labelled is None:
         return judge
     known = labelled.select(F.col(label).alias("k"), F.col(text).alias("t")).where(F.col("k").isin(judge.languages) & (F.length("t").between(20, 4000)))
     seen: dict[tuple[str, ...], list[tuple[str, str, bool]]] = defaultdict(list)
-    for r in known.orderBy(F.xxhash64("t"), "t").limit(LABELLED_ROWS).collect():
+    for r in hash_sample(known, LABELLED_ROWS, "t").collect():
         for u in units(r.t):
             sizes = {k: n for n, k in judge.sizes(u)}
             best = min(sizes.values())

@@ -3,8 +3,8 @@
 Method: iterative truth discovery. Every record claims a value for each field; the support of a value is the
 sum of its claimants' source weights, a source's reliability is the mean share of support that its claims have,
 and both are recomputed in turn until the reliabilities stay put. The surviving record has the best-supported value of every
-field; the record to keep is the group's first in the declared order of preference, in which the support of its values
-comes last before the id.
+field. The record to keep is the group's first in the declared order of preference, which is total and leaves the votes nothing to decide:
+they choose values, the order chooses a record.
 
 Groups are never gathered: claims are aggregated by (key, field, value, source) before any further shuffle, so a key that holds
 a third of all rows costs as many rows as it has differing claims, spread over all tasks.
@@ -24,7 +24,8 @@ from marlstone.functions.text import learned_stock_phrases, plain_words, source_
 from marlstone.functions.urls import record_address, spelled_address
 from marlstone.session import cut, shared_table, small_rows
 
-MAX_ROUNDS, TOLERANCE = 8, 0.002
+#: The reliabilities have settled when none moves by TOLERANCE; a search that hasn't settled after MAX_ROUNDS is an error.
+MAX_ROUNDS, TOLERANCE = 60, 0.002
 _UNTRUSTED = 2**31 - 1
 
 
@@ -46,7 +47,7 @@ def discover(claims: DataFrame, prior: DataFrame, max_rounds: int = MAX_ROUNDS,
     """Truth discovery over claims (key, field, value, source, n, first): (supported values, source reliabilities).
 
     `prior` gives (source, reliability) to begin with; 0.5 where it has none. Values: (key, field, first, support), best ones only.
-    A field on which all claims of a key agree supports its sources alike in every round, so such
+    Raises RuntimeError if the reliabilities don't settle. A field on which all claims of a key agree supports its sources alike in every round, so such
     claims are summed up a source once; only contested ones are voted on again.
     """
     span = claims.groupBy("key", "field").agg((F.min("value") != F.max("value")).alias("contested"), F.min("first").alias("only"))
@@ -61,6 +62,7 @@ def discover(claims: DataFrame, prior: DataFrame, max_rounds: int = MAX_ROUNDS,
         w = trust.select("source", (-F.log(1.02 - F.col("reliability"))).alias("w"))
         return disputed.join(w, "source").withColumn("s", F.col("w") * F.log1p("n"))
 
+    moved = None
     for _ in range(max_rounds):
         v = voted(trust)
         value = v.groupBy("key", "field", "value").agg(F.sum("s").alias("support"), F.collect_set(F.struct("source", "n")).alias("by"))
@@ -73,6 +75,8 @@ def discover(claims: DataFrame, prior: DataFrame, max_rounds: int = MAX_ROUNDS,
         moved = step.agg(F.max("moved")).collect()[0][0]
         if moved is None or moved < tolerance:
             break
+    else:
+        raise RuntimeError(f"the reliabilities still move by {moved} after {max_rounds} rounds")
     values = voted(trust).groupBy("key", "field", "value").agg(F.sum("s").alias("support"), F.min("first").alias("first"))
     best = values.groupBy("key", "field").agg(F.max(F.struct("support", (-F.col("first")).alias("neg"))).alias("m")).select("key", "field", (-F.col("m.neg")).alias("first"), F.col("m.support").alias("support"))
     return best.unionByName(agreed.select("key", "field", F.col("only").alias("first"), F.lit(None).cast("double").alias("support"))), trust.select("source", "reliability")
@@ -121,8 +125,12 @@ def catalog_survivors(skills: DataFrame, renames: DataFrame, registry: DataFrame
 
 def surviving_records(skills: DataFrame, survivors: DataFrame) -> DataFrame:
     """The fused record of each group: (address, n_records, best_rec_id, repo_url, source, description) with their supports."""
-    out = survivors
-    for k in ("repo_url", "source", "description"):
-        values = skills.select(F.col("rec_id").alias("_id"), F.col(k).alias(k))
-        out = out.join(values, F.col(f"fused_{k}.first") == F.col("_id"), "left").drop("_id").withColumn(f"{k}_support", F.round(f"fused_{k}.support", 6)).drop(f"fused_{k}")
-    return out.select(F.col("key").alias("address"), F.col("n").alias("n_records"), F.col("best_id").alias("best_rec_id"), "repo_url", "repo_url_support", "source", "source_support", "description", "description_support")
+    fields = ("repo_url", "source", "description")
+    # the wanted records are asked for once, each with the fields that are wanted of it
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"fused_{k}.first").alias("rec_id"), F.col(f"fused_{k}.support").alias("support")) for k in fields]))
+    wanted = survivors.select("first_id", asked.alias("w")).select("first_id", "w.*").where("rec_id is not null")
+    value = F.coalesce(*[F.when(F.col("field") == k, F.col(k)) for k in fields])
+    got = wanted.join(skills.select("rec_id", *fields), "rec_id").select("first_id", "field", value.alias("value"), F.round("support", 6).alias("support"))
+    flat = got.groupBy("first_id").agg(*[F.max(F.when(F.col("field") == k, F.col(c))).alias(o) for k in fields for c, o in (("value", k), ("support", f"{k}_support"))])
+    head = survivors.select("first_id", F.col("key").alias("address"), F.col("n").alias("n_records"), F.col("best_id").alias("best_rec_id"))
+    return head.join(flat, "first_id", "left").select("address", "n_records", "best_rec_id", *[c for k in fields for c in (k, f"{k}_support")])

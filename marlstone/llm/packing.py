@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from marlstone.llm.bpe import PATTERN, TOKENIZER_DIR, vocabulary
-from marlstone.session import shared_table
+from marlstone.session import shared_table, small_rows
 
 #: Combinations have up to this many lengths and leave at most this share of the capacity unused.
 DEPTH, WINDOW = 4, 0.01
 PATTERNS, ROUNDS = 4_000, 400
 RANK_PARTS = 64
+MOST_SPECS = 1_000
 
 
 def token_counts(docs: DataFrame, tokenizers: list[str], id_col: str, text: str, folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -183,9 +184,12 @@ def fill_containers(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", t
     """(spec_id, id_col, part_no, start_token, n_tokens, container_id): every item, or part of an item beyond the capacity, in its container.
 
     `specs` has spec_id, capacity and tokenizer; specs without capacity above 0 or tokenizer are left out. They are read to
-    the driver, 1000 at most.
+    the driver; more than MOST_SPECS are refused.
     """
-    wanted = specs.where("spec_id is not null and capacity > 0 and tokenizer is not null").select("spec_id", "capacity", "tokenizer").orderBy("spec_id").limit(1000).collect()
+    wanted = small_rows(specs.where("spec_id is not null and capacity > 0 and tokenizer is not null").select("spec_id", "capacity", "tokenizer"), MOST_SPECS)
+    if wanted is None:
+        raise ValueError(f"more than {MOST_SPECS} pack specs")
+    wanted.sort()
     if not wanted:
         return docs.sparkSession.createDataFrame([], f"spec_id int, {id_col} bigint, part_no int, start_token int, n_tokens int, container_id bigint")
     names = sorted({s.tokenizer for s in wanted})

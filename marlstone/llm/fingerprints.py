@@ -116,14 +116,14 @@ def fingerprinted(classes: DataFrame, blocks: int = BLOCKS, rows: int = ROWS, se
     return classes.mapInArrow(run, f"{given}, {FINGERPRINT}")
 
 
-def block_rows(prints: DataFrame, fresh: bool = True) -> DataFrame:
-    """(block, sketch, cls): the rotated block table, in which a fingerprint stands once for each block, with that block first.
+def block_rows(prints: DataFrame) -> DataFrame:
+    """(block, sketch, cls): the rotated block table, in which a fingerprint stands once for each block, with that block first."""
+    return prints.select(F.explode("blocks").alias("block"), F.col("s0").alias("sketch"), "cls")
 
-    The lowest bit of `block`, which blocks leave free, is 0 for fresh rows and 1 for others.
-    """
-    block = F.explode("blocks").alias("block")
-    rows = prints.select(block, F.col("s0").alias("sketch"), "cls")
-    return rows if fresh else rows.withColumn("block", F.col("block").bitwiseOR(F.lit(1)))
+
+def stale(rows: DataFrame) -> DataFrame:
+    """Block rows marked as not to be paired with each other: blocks leave their lowest bit free, which is set."""
+    return rows.withColumn("block", F.col("block").bitwiseOR(F.lit(1)))
 
 
 def posterior_bounds(threshold: float, miss: float, batches: tuple[int, ...] = (16, 32, 48, 64)) -> list[tuple[int, int]]:
@@ -179,7 +179,7 @@ def _pairs_of_runs(first: np.ndarray, size: np.ndarray, fresh: np.ndarray) -> It
 
 
 def candidate_pairs(rows: DataFrame, bounds: list[tuple[int, int]], hot: int = HOT_BLOCK) -> DataFrame:
-    """(a, b, differ), a < b: the pairs of classes, one of them fresh at least, that share a block and whose sketches pass; differ counts
+    """(a, b, differ), a < b: the pairs of classes, not both stale, that share a block and whose sketches pass; differ counts
     their differing bits. A pair may come more than once.
 
     One shuffle by block; each task reads its sorted blocks once, and skips those of one class. Blocks of `hot` classes or more aren't

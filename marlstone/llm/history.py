@@ -160,7 +160,7 @@ class HistoryIndex:
         rows = fp.block_rows(prints)
         if old is not None:
             probe = rows.select("block").distinct()
-            rows = rows.unionByName(fp.block_rows(old, fresh=False).join(probe, "block", "left_semi"))
+            rows = rows.unionByName(fp.stale(fp.block_rows(old).join(probe, "block", "left_semi")))
         pairs = fp.candidate_pairs(rows, [(64, 64 - most_bits[0])])
         if old is not None:
             hit = shared_table(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "hit")

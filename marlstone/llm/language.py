@@ -144,8 +144,8 @@ class Judge:
         if not some:
             return [(len(self.plain(b)), NONE)]
         if len(some) == 1:
-            # against a language of the same script that isn't known: no dictionary at all
-            return sorted([(len(self.compress[some[0]](b)), some[0]), (len(self.plain(b)), NONE)])
+            # against a language of the same script that isn't known: no dictionary at all, which has to win clearly
+            return sorted([(len(self.compress[some[0]](b)), some[0]), (len(self.plain(b)) + NARROW_BYTES, NONE)])
         # of equal sizes Han characters alone are rather Chinese
         return sorted(((len(self.compress[k](b)), k) for k in some), key=lambda x: (x[0], x[1] == "ja", x[1]))
 

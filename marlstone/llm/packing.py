@@ -16,6 +16,7 @@ rows are items of their own; an empty table gives an empty result; further colum
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,9 @@ from marlstone.session import shared_table, small_rows
 
 #: Combinations have up to this many lengths and leave at most this share of the capacity unused.
 DEPTH, WINDOW = 4, 0.01
-PATTERNS, ROUNDS = 4_000, 400
+#: Combinations that begin with each length, and how many lengths are tried after one.
+EACH, BRANCHES = 6, 8
+ROUNDS, TOLERANCE = 4_000, 0.01
 RANK_PARTS = 64
 MOST_SPECS = 1_000
 
@@ -68,46 +71,44 @@ def token_counts(docs: DataFrame, tokenizers: list[str], id_col: str, text: str,
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInArrow(run, "id bigint, n array<int>")
 
 
-def combinations(hist: np.ndarray, capacity: int, depth: int = DEPTH, window: float = WINDOW, most: int = PATTERNS, seed: int = 5) -> list[tuple[int, ...]]:
-    """Distinct multisets of lengths that occur, each filling capacity - window to capacity.
+def combinations(hist: np.ndarray, capacity: int, depth: int = DEPTH, window: float = WINDOW, each: int = EACH) -> list[tuple[int, ...]]:
+    """Distinct multisets of lengths that occur, each filling capacity - window to capacity: the first `each` that begin with each length.
 
-    Each starts from a length, descends through lengths drawn by their frequency, and ends with the length that closes the gap best.
+    They are enumerated depth first: after the length that closes the gap come BRANCHES others that fit, evenly spread over the items, each length
+    beginning with another one. A multiset has `depth` items; four times as many where a length is so small that `depth` of it don't fill a container.
     """
     lengths = np.flatnonzero(hist)
-    lengths = lengths[lengths > 0]
-    if not len(lengths):
-        return []
-    r = np.random.default_rng(seed)
-    weight = hist[lengths] / hist[lengths].sum()
-    least = capacity - int(window * capacity)
-    known = lengths.tolist()
+    known = lengths[lengths > 0].tolist()
+    mass = np.cumsum(hist[known]) if known else np.zeros(0)
+    slack = int(window * capacity)
+
+    def grow(combo: list[int], room: int, left: int, turn: int) -> Iterator[tuple[int, ...]]:
+        if room <= slack:
+            yield tuple(sorted(combo, reverse=True))
+            return
+        i = bisect.bisect_right(known, room) - 1
+        if i < 0 or not left:
+            return
+        if known[i] >= room - slack:
+            yield tuple(sorted([*combo, known[i]], reverse=True))
+        if left > 1:
+            at = np.searchsorted(mass, mass[i] * ((np.arange(BRANCHES) + turn % BRANCHES + 0.5) % BRANCHES) / BRANCHES)
+            for j in dict.fromkeys(at.tolist()):
+                yield from grow([*combo, known[j]], room - known[j], left - 1, turn + 1)
+
     out: dict[tuple[int, ...], None] = {}
-    tries = 0
-    while len(out) < most and tries < 8 * most:
-        tries += 1
-        first = known[tries % len(known)] if tries <= 4 * len(known) else int(r.choice(lengths, p=weight))
-        combo, room = [first], capacity - first
-        for d in range(depth * 4 if first * depth < capacity else depth):
-            if room <= capacity - least:
-                break
-            i = bisect.bisect_right(known, room) - 1
-            if i < 0:
-                break
-            # one item that closes the gap, if there is one, else a random one that fits
-            if known[i] >= room - (capacity - least) and (d >= depth - 2 or r.random() < 0.5):
-                j = i
-            else:
-                p = weight[: i + 1]
-                j = int(r.choice(i + 1, p=p / p.sum()))
-            combo.append(known[j])
-            room -= known[j]
-        if least <= capacity - room <= capacity:
-            out[tuple(sorted(combo, reverse=True))] = None
+    for turn, first in enumerate(known):
+        some = grow([first], capacity - first, (depth * 4 if first * depth < capacity else depth) - 1, turn)
+        out.update(dict.fromkeys(itertools.islice(some, each)))
     return list(out)
 
 
-def repeat_counts(patterns: list[tuple[int, ...]], hist: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Non-negative x with least |A x - hist|^2, by projected gradients with momentum; column j of A counts the lengths of pattern j."""
+def repeat_counts(patterns: list[tuple[int, ...]], hist: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Non-negative x with least |A x - hist|^2, by projected gradients with momentum; column j of A counts the lengths of pattern j.
+
+    Ends when the residual falls by less than `tolerance` of itself in 50 steps, or after `rounds` steps: what the counts miss is packed greedily
+    afterwards, so an early end costs space and nothing else.
+    """
     rows = np.concatenate([np.array(p) for p in patterns])
     cols = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
     h = hist.astype(float)
@@ -115,13 +116,18 @@ def repeat_counts(patterns: list[tuple[int, ...]], hist: np.ndarray, rounds: int
     # a step that is safe for every coordinate: row sums bound the curvature
     step = 1.0 / np.maximum(np.bincount(cols, share[rows], len(patterns)), 1.0)
     x = y = np.zeros(len(patterns))
-    t = 1.0
-    for _ in range(rounds):
+    t, before = 1.0, np.inf
+    for k in range(rounds):
         left = np.bincount(rows, y[cols], len(h)) - h
         grad = np.bincount(cols, left[rows], len(patterns))
         new = np.maximum(0.0, y - step * grad)
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y, x, t = np.maximum(0.0, new + (t - 1) / t2 * (new - x)), new, t2
+        if k % 50 == 49:
+            now = float(((np.bincount(rows, x[cols], len(h)) - h) ** 2).sum())
+            if now > (1 - tolerance) * before:
+                break
+            before = now
     return x
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.urls import record_address
 from marlstone.llm import bpe, history, language, neardup, packing, ranking, spam, survivors
 from marlstone.llm.oracles import ORACLES  # noqa: F401  read by the entry
-from marlstone.session import table
+from marlstone.session import shared_table, small_rows, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +39,8 @@ def p3_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.skill_ranking(table(spark, d, "skillhub"), table(spark, d, "skillsmp"), table(spark, d, "owner_rename"))[0]
+    got = ranking.skill_ranking(table(spark, d, "skillhub"), table(spark, d, "skillsmp"), table(spark, d, "owner_rename"))[0]
+    return got.select("address", "rank", F.round("projection", 6).alias("projection"), "n_scores")
 
 
 def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +73,36 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(table(spark, d, "documents"), table(spark, d, "pack_specs"))
 
 
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The round trip: a digest of the bytes that each document's ids stand for."""
+    return p7_ids(spark, d).select("doc_id", F.md5(bpe.decode(F.col("ids"))).alias("h"))
+
+
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What has to hold of the containers of each spec: (spec_id, items, lost_tokens, overfull, cut_needlessly, broken_parts), all but the items 0.
+
+    Tokens are counted anew. Lost are those in no part, overfull the containers above the capacity, needlessly cut the items that fit one container
+    and have more than one part; parts are broken if they don't follow one another.
+    """
+    boxes, specs = shared_table(p8_containers(spark, d), "boxes"), table(spark, d, "pack_specs")
+    rows = small_rows(specs.select("spec_id", "capacity", "tokenizer"), packing.MOST_SPECS) or []
+    names = sorted({r.tokenizer for r in rows})
+    counts = packing.token_counts(table(spark, d, "documents"), names, "doc_id", "text")
+    each = [F.struct(F.lit(r.spec_id).alias("spec_id"), F.lit(r.capacity).alias("capacity"), F.col("n")[names.index(r.tokenizer)].alias("total")) for r in rows]
+    wanted = counts.select(F.col("id").alias("doc_id"), F.explode(F.array(*each)).alias("s")).select("doc_id", "s.*")
+    parts = boxes.groupBy("spec_id", "doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("placed"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.max("part_no").alias("last"))
+    per = wanted.join(parts, ["spec_id", "doc_id"], "left")
+    bad = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("int")
+    items = per.groupBy("spec_id").agg(
+        F.count("*").alias("items"),
+        F.sum(F.abs(F.col("total") - F.coalesce("placed", F.lit(0)))).cast("int").alias("lost_tokens"),
+        bad((F.col("parts") > 1) & (F.col("total") <= F.col("capacity"))).alias("cut_needlessly"),
+        bad(F.col("parts").isNull() | (F.col("end") != F.col("total")) | (F.col("last") != F.col("parts"))).alias("broken_parts"),
+    )
+    full = boxes.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("t")).join(specs.select("spec_id", "capacity"), "spec_id").groupBy("spec_id").agg(bad(F.col("t") > F.col("capacity")).alias("overfull"))
+    return items.join(full, "spec_id").select("spec_id", "items", "lost_tokens", "overfull", "cut_needlessly", "broken_parts")
+
+
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers of each spec are, against the fewest that could hold the tokens."""
     boxes = p8_containers(spark, d).groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("parts"))
@@ -83,4 +114,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.stuffed_pages(table(spark, d, "documents"), table(spark, d, "lang_samples")).where(F.col("stuffed_share") > spam.SHARE).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p4_ranking, p4_agreement, p7_ids, p8_containers, p8_fill, p9_found, p1_found, p1_survivors, p1_source_reliability, p5_found, p5_groups, p6_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p4_ranking, p4_agreement, p7_ids, p7_decoded, p8_containers, p8_checked, p8_fill, p9_found, p1_found, p1_survivors, p1_source_reliability, p5_found, p5_groups, p6_found)}

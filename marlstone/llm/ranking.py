@@ -2,7 +2,8 @@
 
 Method: first principal component of rank-transformed scores. Each score becomes its mean rank as a share; the correlation matrix
 is summed up in one distributed pass, over the rows that have both scores; the loadings of the first component are turned so that they agree with
-the declared directions; items are sorted by their projection.
+the declared directions; items are sorted by their projection. A score that still has a loading against its direction takes no part: the
+result is then the component without it, and its loading is returned as 0.
 
 A score whose scale differs between loads is ranked within its load. No score rules: after the rank transform all have
 the same range, and the loadings depend on agreement only.
@@ -70,7 +71,7 @@ def combine(items: DataFrame, key: str, scores: dict[str, int], within: dict[str
     parts = []
     for s in scores:
         by = [within[s]] if s in within else []
-        r = average_ranks(long, s, by)
+        r = average_ranks(long, s, by)  # long is a written table, so it is counted from its files' footers
         parts.append(long.select(key, *by, s).join(r, [*by, s]).select(key, F.lit(s).alias("score"), "share"))
     ranked = parts[0]
     for p in parts[1:]:

@@ -101,6 +101,42 @@ def test_every_pair_of_large_classes(spark):
     assert got.count() == got.distinct().where("rec_id_a < rec_id_b").count() == 1120 * 1119 // 2
 
 
+def variants(n, seed=3):
+    """A template with one word that differs, among other texts."""
+    r = random.Random(seed)
+    same = [f"s{k}" for k in range(24)]
+    return [(i, None, " ".join([*same, f"v{i}"])) for i in range(n)] + [(n + i, None, " ".join(f"x{r.randrange(4000)}" for _ in range(25))) for i in range(60)]
+
+
+def test_hot_blocks_are_paired_in_chunks(spark):
+    classed = fp.word_classes(spark.createDataFrame(variants(150), SCHEMA), "rec_id", "name", "description", words_in="description", least_words=12)
+    rows = fp.block_rows(fp.fingerprinted(fp.class_names(classed)).select("blocks", "s0", "cls").checkpoint())
+    bounds = fp.posterior_bounds(0.7, 0.001)
+    plain = {tuple(r) for r in fp.candidate_pairs(rows, bounds).collect()}
+    for hot in (7, 150):
+        assert {tuple(r) for r in fp.candidate_pairs(rows, bounds, hot=hot).collect()} == plain
+    assert len([p for p in plain if p[1] < 150]) == 150 * 149 // 2
+    old = rows.where("cls < 100")
+    mixed = rows.where("cls >= 100").unionByName(fp.stale(old))
+    for hot in (7, 512):
+        got = {tuple(r) for r in fp.candidate_pairs(mixed, bounds, hot=hot).collect()}
+        assert got == {p for p in plain if p[1] >= 100}
+
+
+def test_blocks_that_span_arrow_batches(spark):
+    classed = fp.word_classes(spark.createDataFrame(variants(90), SCHEMA), "rec_id", "name", "description", words_in="description", least_words=12)
+    rows = fp.block_rows(fp.fingerprinted(fp.class_names(classed)).select("blocks", "s0", "cls").checkpoint())
+    bounds = fp.posterior_bounds(0.7, 0.001)
+    plain = {tuple(r) for r in fp.candidate_pairs(rows, bounds).collect()}
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        for hot in (30, 512):
+            assert {tuple(r) for r in fp.candidate_pairs(rows, bounds, hot=hot).collect()} == plain
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
 def test_no_rows_and_extra_columns(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert neardup.near_duplicate_pairs(df).count() == 0 and neardup.near_duplicate_groups(df).count() == 0
@@ -178,6 +214,24 @@ def test_batch_by_batch_is_the_same(spark, tmp_path):
     assert got == {tuple(r) for r in history.nothing_new(df).collect()}
 
 
+def test_a_batch_is_all_that_is_fingerprinted(spark, tmp_path, monkeypatch):
+    rows = batches(seed=9, n=240)
+    df = spark.createDataFrame(rows, REC)
+    seen, made, compared = [], fp.fingerprinted, []
+    monkeypatch.setattr(fp, "fingerprinted", lambda classes: made(classes.cache()) if seen.append(classes.count()) is None else None)
+    rest = fp.pruned_pairs
+    monkeypatch.setattr(fp, "pruned_pairs", lambda pairs, prints, *a: rest(pairs, prints, *a) if compared.append(prints.count()) is None else None)
+    index = history.HistoryIndex(spark, str(tmp_path / "index"))
+    known = set()
+    for load in range(1, 7):
+        index.check(df.where(F.col("load") == load)).collect()
+        sets = {frozenset(word_set(n, t)) for _, l, _, _, n, t in rows if l == load and t and len(word_set(None, t)) >= 12}
+        assert seen[-1] == len(sets - known)  # classes of the history aren't made again
+        known |= sets
+    # and of the history only what shares a block is compared: most texts have no relative
+    assert compared[-1] < 0.7 * len(known)
+
+
 def test_history_edge_cases(spark, tmp_path):
     empty = spark.createDataFrame([], REC)
     assert history.nothing_new(empty).count() == 0

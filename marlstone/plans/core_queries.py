@@ -433,7 +433,12 @@ def frontmatter_fields(spark, d):
     return t.select("doc_id", F.get_json_object("meta", "$.name").alias("name"), F.get_json_object("meta", "$.description").alias("description"), F.size(F.from_json(F.get_json_object("meta", "$.triggers"), "array<string>")).alias("n_triggers"))
 
 
-@query()
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, unnest(range(len(string_split(t, chr(10))))) AS line FROM (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL)),
+ h AS (SELECT *, nullif(trim(regexp_extract(s, '^##\s+([^\r\n]+)$', 1)), '') AS head, '^\s*[-*]\s+\[([^\]]+)\]\((https?://[^)\s]+)\)\s*(?:[—–:-]+\s*(.*))?$' AS p FROM l),
+ c AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS category FROM h)
+ SELECT doc_id, CAST(line AS INT) AS line, category, regexp_extract(s, p, 1) AS name, regexp_extract(s, p, 2) AS url, trim(regexp_extract(s, p, 3)) AS description FROM c WHERE regexp_matches(s, p)"""
+)
 def link_lists(spark, d):
     """WN3, SC28, SC33"""
     return docs_.link_list(table(spark, d, "documents"), "doc_id", "text")

@@ -223,12 +223,3 @@ def parsed_releases(spark, d):
     said = F.concat(F.lit("Release with "), F.format_number("skill_count", 0), F.lit(" skills"))
     hashed = F.concat(F.lit("sha256: "), F.upper("index_sha256"), F.lit(" index.tar"))
     return table(spark, d, "release_log").select("date", pipeline.parse_count(said).alias("n"), pipeline.parse_sha256(hashed).alias("sha256"))
-
-
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, unnest(range(len(string_split(t, chr(10))))) AS line FROM (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL)),
- h AS (SELECT *, nullif(trim(regexp_extract(s, '^##\s+([^\r\n]+)$', 1)), '') AS head, '^\s*[-*]\s+\[([^\]]+)\]\((https?://[^)\s]+)\)\s*(?:[—–:-]+\s*(.*))?$' AS p FROM l),
- c AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS category FROM h)
- SELECT doc_id, CAST(line AS INT) AS line, category, regexp_extract(s, p, 1) AS name, regexp_extract(s, p, 2) AS url FROM c WHERE regexp_matches(s, p)""")
-def listed_links(spark, d):
-    """WN3, SC28, SC33: list links under their headings"""
-    return docs_.link_list(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "line", "category", "name", "url")

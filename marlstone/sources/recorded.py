@@ -17,6 +17,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 OVERFLOW = 950
 
 
+def _files(path: str):
+    """The file system of a folder that all executors reach, and the folder in it; a path without scheme is a mounted one."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+
+
 class _Shard(InputPartition):
     def __init__(self, name: str) -> None:
         super().__init__(name)
@@ -47,19 +54,20 @@ class _Reader(DataSourceReader):
         self.shards = [s for s in options.get("shards", "").split(",") if s]
 
     def partitions(self) -> list[InputPartition]:
-        import os
+        from pyarrow.fs import FileSelector
 
-        names = self.shards or sorted(f[:-5] for f in os.listdir(self.path) if f.endswith(".json"))
-        return [_Shard(n) for n in names]
+        if self.shards:
+            return [_Shard(n) for n in self.shards]
+        files, folder = _files(self.path)
+        return [_Shard(n) for n in sorted(f.base_name[:-5] for f in files.get_file_info(FileSelector(folder)) if f.is_file and f.base_name.endswith(".json"))]
 
     def read(self, partition) -> Iterator[tuple]:
-        import os
-
-        file = os.path.join(self.path, f"{partition.name}.json")
-        if not os.path.exists(file):
+        files, folder = _files(self.path)
+        file = f"{folder.rstrip('/')}/{partition.name}.json"
+        if not files.get_file_info(file).is_file:
             return
-        with open(file, encoding="utf-8") as f:
-            pages = json.load(f).get("pages", [])
+        with files.open_input_stream(file) as f:
+            pages = json.loads(f.read()).get("pages", [])
         seen, n, total = set(), 0, None
         for number, page in enumerate(pages, 1):
             total = page.get("total_count", 0) if total is None else total

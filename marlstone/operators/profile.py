@@ -55,6 +55,33 @@ def _levels(v: Column) -> list[Column]:
     return [classes, words, runs, chars]
 
 
+_LETTER, _UNIT = r"[\p{L}\p{M}]+", r"(?:[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*+|\p{N}+)"
+#: What the parts of an induced expression stand for: runs of words, sentences of them, one word.
+_WORDS = rf"(?:{_UNIT}[,;:]?\s+){{2,}}+"
+_SENTENCES = rf"(?:{_WORDS}{_UNIT}[.!?。！？,;:]?\s*){{2,}}+"
+
+
+def expression_regex(level: Column, expression: Column) -> Column:
+    """The regular expression that an induced expression abbreviates, to be applied to a column with rlike; null for none.
+
+    Levels are those of `induced_expressions`: 0 characters, 1 runs, 2 words, 3 the set of classes. Signs of a value stand for themselves.
+    """
+    put = lambda c, *pairs: c if not pairs else put(F.replace(c, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:])
+    quoted = F.regexp_replace(expression, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    chars = (("A", r"\p{Lu}"), ("a", r"\p{Ll}"), ("x", r"[\p{Lo}\p{Lm}\p{M}]"), ("9", r"\p{N}"))
+    runs = F.regexp_replace(quoted, r"([Aax9])\\\+", "$1{2,}")
+    # marks that no text holds keep what is put in from being taken for more of the expression
+    marked = put(quoted, (r"\(\(w \)\+w\. \)\+", "\ue002"), (r"\(w \)\+", "\ue001"), ("w", "\ue003"), ("9", "\ue004"), (" ", r"\s+"))
+    words = put(marked, ("\ue002", _SENTENCES), ("\ue001", _WORDS), ("\ue003", rf"{_LETTER}(?:['’-]{_LETTER})*+"), ("\ue004", r"\p{N}+"))
+    held = F.regexp_extract(expression, r"^\[(.*)\]\+", 1)
+    some = lambda mark, what: F.when(held.contains(mark), F.lit(what)).otherwise("")
+    classes = F.concat(F.lit(r"[[^\p{L}\p{N}\s]\p{M}\p{Lt}"), some("A", r"\p{Lu}"), some("a", r"\p{Ll}"), some("x", r"\p{Lo}\p{Lm}"), some("9", r"\p{N}"), some(" ", r"\s"), F.lit("]+"))
+    last = F.regexp_extract(expression, r"\]\+(.?)$", 1)
+    closed = F.when(last != "", F.concat(F.lit("["), last, F.lit(r"]\s*"))).otherwise("")
+    body = F.when(level == 0, put(quoted, *chars)).when(level == 1, put(put(runs, *chars), (" ", r"\s+"))).when(level == 2, words).otherwise(F.concat(classes, closed))
+    return F.concat(F.lit(r"(?s)\A"), body, F.lit(r"\z"))
+
+
 _BITS = (("A", 4.7), ("a", 4.7), ("x", 12.0), ("9", 3.3))
 
 
@@ -76,7 +103,7 @@ def _cells(df: DataFrame, columns: list[tuple[str, Column]], load: Column) -> Da
 
 
 def induced_expressions(cells: DataFrame) -> DataFrame:
-    """(col, l3, l2, l1, l0, expression): for each finest form the expression of the cheapest description; null if it is the plain text."""
+    """(col, l3, l2, l1, l0, expression, level): for each finest form the expression of the cheapest description and its level; null if it is the plain text."""
     path = ["col", "l3", "l2", "l1", "l0"]
     values = cells.where("l3 is not null").groupBy(*path, "value").agg(*[F.first(b).alias(b) for b in ("b0", "b1", "b2", "b3", "raw")])
     leaf = values.groupBy(*path).agg(*[F.sum(b).alias(b) for b in ("b0", "b1", "b2", "b3", "raw")])
@@ -92,11 +119,12 @@ def induced_expressions(cells: DataFrame) -> DataFrame:
     out = leaf
     for lv in levels:
         out = out.join(lv, [c for c in lv.columns if c in path])
-    pick = F.when(F.col("own_l3"), F.when(F.col("cost_l3") < F.col("raw_l3"), F.col("l3")))
-    pick = pick.when(F.col("own_l2"), F.when(F.col("cost_l2") < F.col("raw_l2"), F.col("l2")))
-    pick = pick.when(F.col("own_l1"), F.when(F.col("cost_l1") < F.col("raw_l1"), F.col("l1")))
-    pick = pick.otherwise(F.when(F.col("cost") < F.col("raw"), F.col("l0")))
-    return out.select(*path, pick.alias("expression"))
+    named = lambda n: F.struct(F.col(f"l{n}").alias("expression"), F.lit(n).alias("level"))
+    pick = F.when(F.col("own_l3"), F.when(F.col("cost_l3") < F.col("raw_l3"), named(3)))
+    pick = pick.when(F.col("own_l2"), F.when(F.col("cost_l2") < F.col("raw_l2"), named(2)))
+    pick = pick.when(F.col("own_l1"), F.when(F.col("cost_l1") < F.col("raw_l1"), named(1)))
+    pick = pick.otherwise(F.when(F.col("cost") < F.col("raw"), named(0)))
+    return out.select(*path, pick.alias("p")).select(*path, "p.*")
 
 
 class Profile:
@@ -106,7 +134,7 @@ class Profile:
         self.cells = shared_table(_cells(df, columns or flat_columns(df.schema), F.lit("all") if load is None else load), "cells")
         path = ["col", "l3", "l2", "l1", "l0"]
         forms = self.cells.where("l3 is not null").groupBy("load", *path).agg(F.sum("n").alias("n"))
-        self.forms = shared_table(forms.join(induced_expressions(self.cells), path, "left").groupBy("load", "col", "expression").agg(F.sum("n").alias("n")), "forms")
+        self.forms = shared_table(forms.join(induced_expressions(self.cells), path, "left").groupBy("load", "col", "expression").agg(F.sum("n").alias("n"), F.max("level").alias("level")), "forms")
 
     def columns(self) -> DataFrame:
         """One row a column: rows, nulls, blanks, distinct values, extremes, mean length, expressions and rows that conform to none."""
@@ -128,8 +156,8 @@ class Profile:
         return stats.join(e, "col", "left").na.fill(0, ["n_expressions", "n_nonconforming"])
 
     def expressions(self) -> DataFrame:
-        """(col, expression, load, n): rows of each load that each expression covers; a null expression is nonconforming."""
-        return self.forms.select("col", "expression", "load", "n")
+        """(col, expression, regex, load, n): rows of each load that each expression covers, and the regular expression to find them by; a null expression is nonconforming."""
+        return self.forms.select("col", "expression", expression_regex(F.col("level"), F.col("expression")).alias("regex"), "load", "n")
 
     def _metrics(self) -> DataFrame:
         """(col, load, metric, x, is_share, n_load)."""

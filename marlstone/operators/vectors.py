@@ -7,7 +7,7 @@ smaller id, so results don't depend on the partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marlstone.session import hash_sample, ship
+from marlstone.session import hash_sample, shared_folder, ship, write_table
 
 QUERY_BLOCK = 2_048
 #: Rows from which an index is built with inverted lists, and how many there are.
@@ -77,33 +77,42 @@ def _blocks(queries: DataFrame, id_col: str, vector: str) -> Iterator[tuple[np.n
 _HITS = "query_id bigint, id bigint, score double"
 
 
-def _merge(parts: list[DataFrame], k: int, spark) -> DataFrame:
-    if not parts:
-        return spark.createDataFrame([], _HITS + ", rank int")
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
+def _merge(parts: Iterable[DataFrame], k: int, spark) -> DataFrame:
+    """The k best hits of each query. A block's hits are written before the next block is read, so that plans and broadcasts don't add up."""
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return all_.withColumn("rank", rank).where(F.col("rank") <= k)
+    path, last = None, None
+    for hits in parts:
+        if last is not None:
+            path = path or shared_folder(spark, "hits")
+            write_table(last.write.mode("append"), spark, path)
+        last = hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    if last is None:
+        return spark.createDataFrame([], _HITS + ", rank int")
+    if path is None:
+        return last
+    write_table(last.write.mode("append"), spark, path)
+    return spark.read.schema(last.schema).parquet(path)
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): the k rows with the greatest inner product of each query. Null vectors take no part."""
     ship(vectors.sparkSession)
     rows = vectors.select(id_col, vector).where(F.col(vector).isNotNull())
-    parts = []
-    for ids, q in _blocks(queries, id_col, vector):
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
 
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            for b in batches:
-                if len(b):
-                    i, hit, s = _best(q @ _matrix(b.column(1)).astype(np.float64).T, b.column(0).to_numpy(), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(hit), pa.array(s)], names=["query_id", "id", "score"])
+    def parts() -> Iterator[DataFrame]:
+        for ids, q in _blocks(queries, id_col, vector):
+            shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
 
-        parts.append(rows.mapInArrow(run, _HITS))
-    return _merge(parts, k, vectors.sparkSession)
+            def run(batches, shared=shared):
+                ids, q = shared.value
+                for b in batches:
+                    if len(b):
+                        i, hit, s = _best(q @ _matrix(b.column(1)).astype(np.float64).T, b.column(0).to_numpy(), k)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(hit), pa.array(s)], names=["query_id", "id", "score"])
+
+            yield rows.mapInArrow(run, _HITS)
+
+    return _merge(parts(), k, vectors.sparkSession)
 
 
 def ranges(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -209,7 +218,10 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int, nprobe: int | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """(query_id, id, score, rank) from the `nprobe` lists nearest to each query, by default as many as the index was found to need."""
         nprobe = self.nprobe if nprobe is None else nprobe
-        quant, c, parts = self.quantizer, self.centroids, []
+        return _merge(self._parts(queries, k, nprobe, id_col, vector), k, self.table.sparkSession)
+
+    def _parts(self, queries: DataFrame, k: int, nprobe: int, id_col: str, vector: str) -> Iterator[DataFrame]:
+        quant, c = self.quantizer, self.centroids
         for ids, q in _blocks(queries, id_col, vector):
             near = np.argsort(-(q @ c.T - 0.5 * (c * c).sum(1)[None]), axis=1, kind="stable")[:, :nprobe]
             probe = np.zeros((len(q), len(c)), bool)
@@ -233,8 +245,7 @@ class VectorIndex:
 
             probed = sorted({int(x) for x in near.reshape(-1)})
             rows = self.table if len(probed) == len(c) else self.table.where(F.col("list_id").isin(probed))
-            parts.append(rows.mapInArrow(run, _HITS))
-        return _merge(parts, k, self.table.sparkSession)
+            yield rows.mapInArrow(run, _HITS)
 
 
 def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:

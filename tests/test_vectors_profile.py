@@ -168,6 +168,16 @@ def test_expressions_are_applicable(spark, sf):
         odd = [r.value for r in cells.select("value", regex.alias("r")).where("not value rlike r").collect()]
         assert len(odd) <= (1 if level else 0), (level, odd)
     got = cells.join(induced_expressions(cells), ["col", "l3", "l2", "l1", "l0"]).where("expression is not null")
-    fits = got.select(F.col("value").rlike(expression_regex(F.col("level"), F.col("expression"))).alias("ok"))
+    fits = got.select(F.rlike(F.col("value"), expression_regex(F.col("level"), F.col("expression"))).alias("ok"))
     assert fits.count() > 100 and fits.where("not ok").count() == 0
     assert set(Profile(df).expressions().columns) == {"col", "expression", "regex", "load", "n"}
+
+
+def test_many_blocks_of_queries_are_one_result(data, monkeypatch):
+    _, df = data
+    whole = {tuple(r) for r in vec.exact_top_k(df, df, 3).collect()}
+    index = vec.VectorIndex.build(df, lists=8)
+    coded = {tuple(r) for r in index.search(df, 3, nprobe=3).collect()}
+    monkeypatch.setattr(vec, "QUERY_BLOCK", 150)
+    assert {tuple(r) for r in vec.exact_top_k(df, df, 3).collect()} == whole
+    assert {tuple(r) for r in index.search(df, 3, nprobe=3).collect()} == coded

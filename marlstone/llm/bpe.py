@@ -5,7 +5,7 @@ decoding concatenates binary pieces.
 
 One pass over the texts splits them into words and writes, chunk by chunk, each document as numbers of the chunk's
 own word list. The distinct words of all chunks are merged once each, wherever they occur; the ids return to the chunks that asked for them, and
-documents become ids by look-up. A chunk has a bounded number of bytes (a longer document is a chunk of its own), so no task
+documents become ids by look-up. A chunk has a bounded number of characters (a longer document is a chunk of its own), so no task
 holds more than that, and a word that stands in every document is shuffled once a chunk.
 
 A "word" is a piece of the splitting pattern, cut further where no token of the vocabulary
@@ -40,8 +40,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _WIDE_PATTERN = r" ?\p{L}++| ?\p{N}++|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 _ASCII_PATTERN = rb" ?[A-Za-z]++| ?[0-9]++|'(?:[stmd]|re|ve|ll)| ?[^\t-\r A-Za-z0-9]++|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
-#: Bytes of text in a chunk; words longer than LONG_WORD bytes are merged with a heap instead of the fold, whose cost is quadratic in the length.
-CHUNK_BYTES, LONG_WORD = 16 << 20, 2048
+#: Characters of text in a chunk; words longer than LONG_WORD bytes are merged with a heap instead of the fold, whose cost is quadratic in the length.
+CHUNK_CHARS, LONG_WORD = 16 << 20, 2048
 #: Larger than any rank.
 _NONE = 1 << 17
 
@@ -195,7 +195,7 @@ class _Numbers(dict):
         return n
 
 
-def _chunked(docs: DataFrame, name: str, folder: str, chunk_bytes: int) -> DataFrame:
+def _chunked(docs: DataFrame, name: str, folder: str, chunk_chars: int) -> DataFrame:
     """(chunk, id, refs, word, local): document rows have id and refs (uint32 numbers), word rows have word and its number."""
     schema = pa.schema([("chunk", pa.int64()), ("id", pa.int64()), ("refs", pa.binary()), ("word", pa.binary()), ("local", pa.int32())])
 
@@ -226,7 +226,7 @@ def _chunked(docs: DataFrame, name: str, folder: str, chunk_bytes: int) -> DataF
                 refs.append(np.fromiter(map(local.__getitem__, found), np.uint32, len(found)).tobytes())
                 ids.append(i)
                 size += len(text)
-                if size >= chunk_bytes:
+                if size >= chunk_chars:
                     yield flush()
                     chunk, size, local, ids, refs = chunk + 1, 0, _Numbers(), [], []
         if ids:
@@ -278,9 +278,9 @@ def _heap_merger(name: str, folder: str):
     return encode
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(id_col, ids): the token ids of each text; no special tokens."""
-    parts = shared_table(_chunked(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), tokenizer, folder, chunk_bytes), "bpe")
+    parts = shared_table(_chunked(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), tokenizer, folder, chunk_chars), "bpe")
     asked = parts.where("word is not null").select(F.col("chunk").alias("of"), "local", "word")
     # distinct words are partitioned as the asking rows are, so the join back to them moves nothing
     asked = asked.repartition("word")

@@ -31,7 +31,7 @@ TEXTS = [
 
 def test_ids_of_hard_texts(spark, reference):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").withColumns({c: F.lit(1) for c in ("id", "chunk", "word", "ids")})
-    got = {r.doc_id: r.ids for r in bpe.encode(df, chunk_bytes=300).collect()}
+    got = {r.doc_id: r.ids for r in bpe.encode(df, chunk_chars=300).collect()}
     assert got == {i: reference.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
 
 

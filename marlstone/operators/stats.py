@@ -92,5 +92,6 @@ def short_stars(n: Column) -> Column:
 
 
 def bar(percent: Column, width: int = 20) -> Column:
-    """A bar of blocks, one at least for what is above 0, rounded half to even (FN14)."""
-    return F.when(percent > 0, F.repeat(F.lit("█"), F.greatest(F.lit(1), F.bround(percent / 100 * width, 0).cast("int")))).otherwise("")
+    """A bar of `width` blocks: full ones, one at least for what is above 0, rounded half to even, and light ones for the rest (FN14)."""
+    full = F.when(percent > 0, F.greatest(F.lit(1), F.bround(percent / 100 * width, 0).cast("int"))).otherwise(0)
+    return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full))

@@ -284,13 +284,29 @@ def star_labels(spark, d):
     return flat(spark, d).select("rec_id", stats.short_stars(F.col("stars")).alias("label"))
 
 
-@query(f"WITH {MERGED}, h AS (SELECT {_case(stats.DOC_BUCKETS, 'stars')} AS bucket, count(*) AS n FROM merged GROUP BY 1) SELECT bucket, repeat('█', CAST(greatest(1, round_even(100.0 * n / sum(n) OVER () / 100 * 20, 0)) AS INT)) AS bar FROM h")
+@query(f"WITH {MERGED}, h AS (SELECT {_case(stats.DOC_BUCKETS, 'stars')} AS bucket, count(*) AS n FROM merged GROUP BY 1) SELECT bucket, rpad(repeat('█', CAST(greatest(1, round_even(100.0 * n / sum(n) OVER () / 100 * 20, 0)) AS INT)), 20, '░') AS bar FROM h")
 def bars(spark, d):
     """FN14"""
     h = histogram_docs(spark, d).withColumn("total", F.sum("n").over(W.partitionBy(F.lit(0))))  # one row a bucket
     return h.select("bucket", stats.bar(100.0 * F.col("n") / F.col("total")).alias("bar"))
 
 
+@query(
+    f"""WITH {MERGED}, h AS (SELECT {_case(stats.DOC_BUCKETS, 'stars')} AS bucket, count(*) AS n FROM merged GROUP BY 1), s AS (SELECT *, 100.0 * n / sum(n) OVER () AS p FROM h)
+ SELECT CAST(list_position({[e[0] for e in stats.DOC_BUCKETS]}, bucket) - 1 AS INT) AS place, '| ' || bucket || ' | ' || format('{{:,}}', n) || ' | ' || rpad(repeat('█', CAST(greatest(1, round_even(p / 5, 0)) AS INT)), 20, '░') || ' ' || CAST(CAST(round_even(p, 0) AS INT) AS VARCHAR) || '% |' AS line FROM s
+ UNION ALL SELECT {len(stats.DOC_BUCKETS)}, '| **Total** | **' || format('{{:,}}', CAST(sum(n) AS BIGINT)) || '** | |' FROM h"""
+)
+def distribution_lines(spark, d):
+    """CT14, FN14, FN16: the star histogram as the lines of a table"""
+    return writers.distribution_lines(histogram_docs(spark, d), stats.DOC_BUCKETS)
+
+
+@query("SELECT format('{:,}', count(*) // 500 * 500) || '+' AS quoted FROM skillsmp")
+def quoted_count(spark, d):
+    """CT14, FN13"""
+    return skills(spark, d).agg(F.count("*").alias("n")).select(writers.rounded_count(F.col("n")).alias("quoted"))
+
+
 # --- increments --------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from marlstone.operators import stats
 from marlstone.session import small_rows
 from marlstone.sources.jsonl import AlignmentError, QualityGateError
 
@@ -101,6 +103,43 @@ def rewrite_blocks(text: str, blocks: dict[str, str], mark: str = "<!-- stats:{n
     return "".join([*pieces, text[last:]]), names
 
 
+def distribution_lines(histogram: DataFrame, edges) -> DataFrame:
+    """(place, line): a histogram (bucket, n) as the lines of a table with bars, buckets in the order of `edges`, and its total last (CT14)."""
+    order = F.create_map(*[F.lit(x) for i, (label, _, _) in enumerate(edges) for x in (label, i)])
+    sums = histogram.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 0").withColumn("all", F.sum("n").over(W.partitionBy(F.lit(0))))  # one row a bucket
+    share = 100.0 * F.col("n") / F.col("all")
+    count = lambda c: F.format_number(c, 0)
+    line = F.concat(F.lit("| "), "bucket", F.lit(" | "), count("n"), F.lit(" | "), stats.bar(share), F.lit(" "), F.bround(share, 0).cast("int").cast("string"), F.lit("% |"))
+    rows = sums.select(F.try_element_at(order, F.col("bucket")).alias("place"), line.alias("line"))
+    total = histogram.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(len(edges)).alias("place"), F.concat(F.lit("| **Total** | **"), count("n"), F.lit("** | |")).alias("line"))
+    return rows.unionByName(total)
+
+
+def rounded_count(n: Column, step: int = 500) -> Column:
+    """A number to be quoted: rounded down to a multiple of `step`, with a plus (CT14)."""
+    return F.concat(F.format_number(F.floor(n / step) * step, 0), F.lit("+"))
+
+
+def source_report(per_source: DataFrame, most: int = 1_000) -> str:
+    """The rows of `source_stats` as a text table with a row of totals (SK13); one row a source is read to the driver, and more than `most` are refused."""
+    rows = small_rows(per_source, most)
+    if rows is None:
+        raise ValueError(f"more than {most} sources")
+    rows.sort(key=lambda r: r[0])
+    wide = max([6, *(len(r[0]) for r in rows)])
+    stars = lambda n: f"{n // 1000}k" if n >= 10_000 else f"{n / 1000:.1f}k" if n >= 1000 else str(n)
+    lines = [f"{'Source':<{wide}}  {'Records':>9}  {'No description':>20}  {'No stars':>20}  {'Median':>7}  {'P95':>7}"]
+
+    def part(n: int, of: int, most_percent: float | None) -> str:
+        share = 100 * n / of if of else 0.0
+        return f"{n:,} ({share:.1f}%){' !' if most_percent is not None and share > most_percent else '  '}"
+
+    for r in rows:
+        lines.append(f"{r[0]:<{wide}}  {r.total:>9,}  {part(r.no_description, r.total, 5):>20}  {part(r.zero_stars, r.total, 15):>20}  {stars(r.median):>7}  {stars(r.p95):>7}")
+    total, empty, zero = (sum(r[c] for r in rows) for c in ("total", "no_description", "zero_stars"))
+    return "\n".join([*lines, f"{'TOTAL':<{wide}}  {total:>9,}  {part(empty, total, None):>20}  {part(zero, total, None):>20}"])
+
+
 def release_markdown(deltas: DataFrame, most: int = 10_000) -> str:
     """The release log as a table, newest first (SK11); one row a release is read to the driver, and more than `most` are refused."""
     rows = small_rows(deltas, most)

@@ -118,3 +118,17 @@ def test_embedding_goes_on_where_it_broke_off(spark, tmp_path):
     assert again == whole and made.value == 301  # every batch was in the log
     pipeline.finish(spark, log)
     assert not jsonl.exists(spark, log)
+
+
+def test_rendered_reports(spark):
+    from marlstone.operators import stats
+
+    hist = spark.createDataFrame([("1–9", 7), ("0", 1)], "bucket string, n bigint")
+    got = [r.line for r in writers.distribution_lines(hist, stats.DOC_BUCKETS).orderBy("place").collect()]
+    assert got == ["| 0 | 1 | ██" + "░" * 18 + " 12% |", "| 1–9 | 7 | " + "█" * 18 + "░░ 88% |", "| **Total** | **8** | |"]
+    df = spark.createDataFrame([("b", 2000 if i else 0, "x" if i % 2 else " ") for i in range(4)] + [("a", 12, "x")], "source string, stars bigint, description string")
+    lines = writers.source_report(stats.source_stats(df, "source", "stars", "description")).splitlines()
+    assert lines[1].split() == ["a", "1", "0", "(0.0%)", "0", "(0.0%)", "12", "12"]
+    assert lines[2].split() == ["b", "4", "2", "(50.0%)", "!", "1", "(25.0%)", "!", "2.0k", "2.0k"] and lines[3].split()[:3] == ["TOTAL", "5", "2"]
+    with pytest.raises(ValueError):
+        writers.source_report(stats.source_stats(df, "source", "stars", "description"), 1)

@@ -42,17 +42,34 @@ def flat_columns(schema: T.StructType, prefix: str = "") -> list[tuple[str, Colu
     return out
 
 
-def _levels(v: Column) -> list[Column]:
-    """The four generalisations, finest last but one first: [classes, words, runs, exact runs]."""
-    rep = F.regexp_replace
-    chars = rep(rep(rep(rep(v, r"\p{Lu}", "A"), r"\p{Ll}", "a"), r"[\p{Lo}\p{Lm}\p{M}]", "x"), r"\p{N}", "9")
-    runs = rep(rep(rep(rep(rep(chars, "A{2,}", "A+"), "a{2,}", "a+"), "x{2,}", "x+"), "9{2,}", "9+"), r"\s+", " ")
-    # words: any run of letters is w; lists of words become one step
-    words = rep(rep(rep(rep(chars, "[Aax]+(?:['’-][Aax]+)*", "w"), "9+", "9"), r"\s+", " "), r"(?:[w9][,;:]? ){2,}", "(w )+")
-    words = rep(words, r"(?:\(w \)\+[w9][.!?。！？,;:]? ?){2,}", "((w )+w. )+")
+_rep = F.regexp_replace
+
+
+def _chars(v: Column) -> Column:
+    """Level 0: the class of each character; signs stay. As long as the value."""
+    return _rep(_rep(_rep(_rep(v, r"\p{Lu}", "A"), r"\p{Ll}", "a"), r"[\p{Lo}\p{Lm}\p{M}]", "x"), r"\p{N}", "9")
+
+
+def _runs(chars: Column) -> Column:
+    """Level 1: runs without their lengths."""
+    return _rep(_rep(chars, r"([Aax9])\1+", "$1+"), r"\s+", " ")
+
+
+def _words(chars: Column) -> Column:
+    """Level 2: any run of letters is w; lists of words become one step, and so do sentences of them."""
+    words = _rep(_rep(_rep(_rep(chars, "[Aax]+(?:['’-][Aax]+)*", "w"), "9+", "9"), r"\s+", " "), r"(?:[w9][,;:]? ){2,}", "(w )+")
+    return _rep(words, r"(?:\(w \)\+[w9][.!?。！？,;:]? ?){2,}", "((w )+w. )+")
+
+
+def _classes(v: Column) -> Column:
+    """Level 3: the set of classes and the closing mark."""
     has = lambda p, s: F.when(v.rlike(p), F.lit(s)).otherwise(F.lit(""))
-    classes = F.concat(F.lit("["), has(r"\p{Lu}", "A"), has(r"\p{Ll}", "a"), has(r"[\p{Lo}\p{Lm}]", "x"), has(r"\p{N}", "9"), has(r"\s", " "), has("<[A-Za-z/]", "<>"), has(r"[\u0080-¿�€™]", "~"), has("^-", "-"), F.lit("]+"), F.regexp_extract(v, r"([.!?。！？…])\s*$", 1))
-    return [classes, words, runs, chars]
+    return F.concat(F.lit("["), has(r"\p{Lu}", "A"), has(r"\p{Ll}", "a"), has(r"[\p{Lo}\p{Lm}]", "x"), has(r"\p{N}", "9"), has(r"\s", " "), has("<[A-Za-z/]", "<>"), has(r"[\u0080-\u009f\u00bf\ufffd\u20ac\u2122]", "~"), has("^-", "-"), F.lit("]+"), F.regexp_extract(v, r"([.!?。！？…])\s*$", 1))
+
+
+def level_label(level: Column, value: Column) -> Column:
+    """The generalisation of a value on a level, 0 to 3."""
+    return F.when(level == 0, _chars(value)).when(level == 1, _runs(_chars(value))).when(level == 2, _words(_chars(value))).when(level == 3, _classes(value))
 
 
 _LETTER, _UNIT = r"[\p{L}\p{M}]+", r"(?:[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*+|\p{N}+)"
@@ -85,46 +102,58 @@ def expression_regex(level: Column, expression: Column) -> Column:
 _BITS = (("A", 4.7), ("a", 4.7), ("x", 12.0), ("9", 3.3))
 
 
+PATH = ["col", "h3", "h2", "h1", "h0"]
+
+
 def _cells(df: DataFrame, columns: list[tuple[str, Column]], load: Column) -> DataFrame:
-    """(col, load, value, n) with the levels and bits of each value, one row for each distinct value of a load."""
+    """One row for each distinct value of a column and load: (load, col, value, n, blank), and of values that aren't null or blank the hashes h0 to h3 of
+    their levels, vh of the value itself, the lengths of value and levels, and the bits b0 and b3.
+
+    A level is a function of the value, so its hash stands for it from here on; the few texts that are shown are made again (`level_label`).
+    """
     cell = F.explode(F.array(*[F.struct(F.lit(n).alias("col"), c.alias("value")) for n, c in columns]))
     counts = df.select(load.cast("string").alias("load"), cell.alias("c")).groupBy("load", F.col("c.col").alias("col"), F.col("c.value").alias("value")).agg(F.count("*").alias("n"))
-    full = F.col("value").isNotNull() & ~F.col("value").rlike(r"^[\s\p{Z}\p{C}]*$")
-    classes, words, runs, chars = _levels(F.col("value"))
-    out = counts.withColumn("blank", F.col("value").isNotNull() & ~full)
-    out = out.withColumn("l3", F.when(full, classes)).withColumn("l2", F.when(full, words)).withColumn("l1", F.when(full, runs)).withColumn("l0", F.when(full, chars))
-    # bits of a value under its exact runs; the upper levels add the run lengths, the word types, and all classes for each character
-    b0 = sum((F.length(F.regexp_replace("l0", f"[^{k}]", "")) * w for k, w in _BITS), F.lit(0.0))
-    b1 = b0 + F.length("l1") * 1.5
-    b2 = b1 + F.length("l1") * 2.0
-    b3 = F.length("value") * F.log2(2 + 26.0 * F.col("l3").contains("A").cast("int") + 26 * F.col("l3").contains("a").cast("int") + 4000 * F.col("l3").contains("x").cast("int") + 10 * F.col("l3").contains("9").cast("int"))
-    raw = F.length("value") * 11.0 + 16
-    return out.withColumn("b0", b0).withColumn("b1", b1).withColumn("b2", b2).withColumn("b3", b3).withColumn("raw", raw)
+    # in steps, so that the characters' classes are found once for the levels above them
+    one = counts.withColumn("full", F.col("value").isNotNull() & ~F.col("value").rlike(r"^[\s\p{Z}\p{C}]*$"))
+    two = one.withColumn("l0", F.when(F.col("full"), _chars(F.col("value")))).withColumn("l3", F.when(F.col("full"), _classes(F.col("value"))))
+    all_ = two.withColumn("l1", _runs(F.col("l0"))).withColumn("l2", _words(F.col("l0")))
+    l3, size = F.col("l3"), F.length("value")
+    b0 = sum(((size - F.length(F.translate("l0", k, ""))) * w for k, w in _BITS), F.lit(0.0))
+    # under the set of classes each character may be any of them
+    b3 = size * F.log2(2 + 26.0 * l3.contains("A").cast("int") + 26 * l3.contains("a").cast("int") + 4000 * l3.contains("x").cast("int") + 10 * l3.contains("9").cast("int"))
+    hashed = [F.when(F.col("full"), F.xxhash64(f"l{i}")).alias(f"h{i}") for i in range(4)]
+    return all_.select("load", "col", "value", "n", (F.col("value").isNotNull() & ~F.col("full")).alias("blank"), F.xxhash64("value").alias("vh"), *hashed, size.alias("len"), *[F.length(f"l{i}").alias(f"n{i}") for i in (1, 2, 3)], b0.alias("b0"), b3.alias("b3"))
 
 
 def induced_expressions(cells: DataFrame) -> DataFrame:
-    """(col, l3, l2, l1, l0, expression, level): for each finest form the expression of the cheapest description and its level; null if it is the plain text."""
-    path = ["col", "l3", "l2", "l1", "l0"]
-    values = cells.where("l3 is not null").groupBy(*path, "value").agg(*[F.first(b).alias(b) for b in ("b0", "b1", "b2", "b3", "raw")])
-    leaf = values.groupBy(*path).agg(*[F.sum(b).alias(b) for b in ("b0", "b1", "b2", "b3", "raw")])
-    state = lambda c: 20 + 10.0 * F.length(c)
-    leaf = shared_table(leaf.withColumn("cost", state("l0") + F.col("b0")), "expressions")
+    """(col, h3, h2, h1, h0, level): for each finest form the level of the expression of the cheapest description; null if it is the plain text."""
+    # equal values and equal forms lie together after one shuffle
+    laid = cells.where("h3 is not null").select(*PATH, "vh", "len", "n1", "n2", "n3", "b0", "b3").repartition("col", "h0")
+    values = laid.groupBy(*PATH, "vh").agg(*[F.first(c).alias(c) for c in ("len", "n1", "n2", "n3", "b0", "b3")])
+    bits = {
+        "b0": F.col("b0"),
+        # the upper levels add the run lengths, the word types, and all classes for each character
+        "b1": F.col("b0") + F.col("n1") * 1.5,
+        "b2": F.col("b0") + F.col("n1") * 3.5,
+        "b3": F.col("b3"),
+        "raw": F.col("len") * 11.0 + 16,
+    }
+    leaf = values.groupBy(*PATH).agg(F.first("len").alias("n0"), *[F.first(n).alias(n) for n in ("n1", "n2", "n3")], *[F.sum(c).alias(k) for k, c in bits.items()])
+    state = lambda n: 20 + 10.0 * F.col(n)
+    leaf = shared_table(leaf.withColumn("cost", state("n0") + F.col("b0")), "expressions")
     levels, below = [], leaf
-    for depth, (name, bits) in enumerate((("l1", "b1"), ("l2", "b2"), ("l3", "b3"))):
-        keys = path[: 4 - depth]
-        up = below.groupBy(*keys).agg(F.sum("cost").alias("under"), *[F.sum(b).alias(b) for b in ("b1", "b2", "b3", "raw") if b >= bits or b == "raw"])
-        own = state(name) + F.col(bits)
+    for depth in (1, 2, 3):
+        keys = PATH[: 5 - depth]
+        rest = [f"n{i}" for i in range(depth, 4)] + [f"b{i}" for i in range(depth, 4)] + ["raw"]
+        up = below.groupBy(*keys).agg(F.sum("cost").alias("under"), *[(F.first(c) if c[0] == "n" else F.sum(c)).alias(c) for c in rest])
+        own = state(f"n{depth}") + F.col(f"b{depth}")
         below = up.withColumn("own", own < F.col("under")).withColumn("cost", F.least(own, F.col("under")))
-        levels.append(below.select(*keys, F.col("own").alias(f"own_{name}"), F.col("cost").alias(f"cost_{name}"), F.col("raw").alias(f"raw_{name}")))
-    out = leaf
+        # what is decided on this level: nothing, an expression, or that the text is cheaper
+        levels.append(below.select(*keys, F.when(F.col("own"), F.when(F.col("cost") < F.col("raw"), F.lit(depth)).otherwise(-1)).alias(f"d{depth}")))
+    out = leaf.select(*PATH, F.when(F.col("cost") < F.col("raw"), F.lit(0)).otherwise(-1).alias("d0"))
     for lv in levels:
-        out = out.join(lv, [c for c in lv.columns if c in path])
-    named = lambda n: F.struct(F.col(f"l{n}").alias("expression"), F.lit(n).alias("level"))
-    pick = F.when(F.col("own_l3"), F.when(F.col("cost_l3") < F.col("raw_l3"), named(3)))
-    pick = pick.when(F.col("own_l2"), F.when(F.col("cost_l2") < F.col("raw_l2"), named(2)))
-    pick = pick.when(F.col("own_l1"), F.when(F.col("cost_l1") < F.col("raw_l1"), named(1)))
-    pick = pick.otherwise(F.when(F.col("cost") < F.col("raw"), named(0)))
-    return out.select(*path, pick.alias("p")).select(*path, "p.*")
+        out = out.join(lv, [c for c in lv.columns if c in PATH])
+    return out.select(*PATH, F.nullif(F.coalesce("d3", "d2", "d1", "d0"), F.lit(-1)).alias("level"))
 
 
 class Profile:
@@ -132,54 +161,71 @@ class Profile:
 
     def __init__(self, df: DataFrame, columns: list[tuple[str, Column]] | None = None, load: Column | None = None) -> None:
         self.cells = shared_table(_cells(df, columns or flat_columns(df.schema), F.lit("all") if load is None else load), "cells")
-        path = ["col", "l3", "l2", "l1", "l0"]
-        forms = self.cells.where("l3 is not null").groupBy("load", *path).agg(F.sum("n").alias("n"))
-        self.forms = shared_table(forms.join(induced_expressions(self.cells), path, "left").groupBy("load", "col", "expression").agg(F.sum("n").alias("n"), F.max("level").alias("level")), "forms")
+        forms = self.cells.where("h3 is not null").groupBy("load", *PATH).agg(F.sum("n").alias("n"))
+        chosen = forms.join(induced_expressions(self.cells), PATH, "left")
+        named = F.when(F.col("level") == 0, F.col("h0")).when(F.col("level") == 1, F.col("h1")).when(F.col("level") == 2, F.col("h2")).when(F.col("level") == 3, F.col("h3"))
+        #: (load, col, level, h, n): rows of each load under each expression, which is called by its level and hash; null for nonconforming ones.
+        self.forms = shared_table(chosen.groupBy("load", "col", "level", named.alias("h")).agg(F.sum("n").alias("n")), "forms")
+
+    def _texts(self, some: DataFrame) -> DataFrame:
+        """(col, level, h, expression) of the expressions in `some` (col, level, h), made from the least value of each."""
+        wanted = some.select("col", "level", "h").where("level is not null").distinct()
+        out = None
+        for level in range(4):
+            own = self.cells.select("col", F.col(f"h{level}").alias("h"), "value").join(wanted.where(F.col("level") == level), ["col", "h"])
+            one = own.groupBy("col", "level", "h").agg(F.min("value").alias("value"))
+            out = one if out is None else out.unionByName(one)
+        return out.select("col", "level", "h", level_label(F.col("level"), F.col("value")).alias("expression"))
 
     def columns(self) -> DataFrame:
         """One row a column: rows, nulls, blanks, distinct values, extremes, mean length, expressions and rows that conform to none."""
-        v = self.cells.groupBy("col", "value").agg(F.sum("n").alias("n"), F.first("blank").alias("blank"))
         num = F.col("value").try_cast("double")
         text = F.col("value").isNotNull()
-        stats = v.groupBy("col").agg(
+        stats = self.cells.groupBy("col").agg(
             F.sum("n").alias("n_rows"),
             F.coalesce(F.sum(F.when(~text, F.col("n"))), F.lit(0)).alias("n_null"),
             F.coalesce(F.sum(F.when(F.col("blank"), F.col("n"))), F.lit(0)).alias("n_blank"),
-            F.count(F.when(text, 1)).alias("n_distinct"),
             F.min("value").alias("min_text"),
             F.max("value").alias("max_text"),
             F.min(num).alias("min_number"),
             F.max(num).alias("max_number"),
-            F.round(F.sum(F.length("value") * F.col("n")) / F.sum(F.when(text, F.col("n"))), 6).alias("mean_length"),
+            F.round(F.sum(F.col("len") * F.col("n")) / F.sum(F.when(text, F.col("n"))), 6).alias("mean_length"),
         )
-        e = self.forms.groupBy("col").agg(F.count_distinct("expression").alias("n_expressions"), F.coalesce(F.sum(F.when(F.col("expression").isNull(), F.col("n"))), F.lit(0)).alias("n_nonconforming"))
-        return stats.join(e, "col", "left").na.fill(0, ["n_expressions", "n_nonconforming"])
+        # hashes of 64 bits and the length tell values apart
+        distinct = self.cells.where(text).select("col", "vh", "len").distinct().groupBy("col").agg(F.count("*").alias("n_distinct"))
+        e = self.forms.groupBy("col").agg(F.count_distinct("level", "h").alias("n_expressions"), F.coalesce(F.sum(F.when(F.col("level").isNull(), F.col("n"))), F.lit(0)).alias("n_nonconforming"))
+        got = stats.join(distinct, "col", "left").join(e, "col", "left").na.fill(0, ["n_distinct", "n_expressions", "n_nonconforming"])
+        return got.select("col", "n_rows", "n_null", "n_blank", "n_distinct", "min_text", "max_text", "min_number", "max_number", "mean_length", "n_expressions", "n_nonconforming")
 
     def expressions(self) -> DataFrame:
         """(col, expression, regex, load, n): rows of each load that each expression covers, and the regular expression to find them by; a null expression is nonconforming."""
-        return self.forms.select("col", "expression", expression_regex(F.col("level"), F.col("expression")).alias("regex"), "load", "n")
+        got = self.forms.join(self._texts(self.forms), ["col", "level", "h"], "left")
+        return got.select("col", "expression", expression_regex(F.col("level"), F.col("expression")).alias("regex"), "load", "n")
 
     def _metrics(self) -> DataFrame:
         """(col, load, metric, x, is_share, n_load)."""
         size = self.cells.groupBy("col", "load").agg(F.sum("n").alias("n_load"))
         tab = self.cells.groupBy("col", "load").agg(F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.sum(F.when(F.col("blank"), F.col("n")).otherwise(0)).alias("blanks"))
         share = tab.select("col", "load", F.explode(F.create_map(F.lit("null"), "nulls", F.lit("blank"), "blanks")).alias("metric", "m"))
-        cover = self.forms.select("col", "load", F.concat(F.lit("form "), F.coalesce("expression", F.lit("none"))).alias("metric"), F.col("n").alias("m"))
-        value = self.cells.where("l3 is not null").select("col", "load", F.concat(F.lit("value "), "value").alias("metric"), F.col("n").alias("m")).join(size, ["col", "load"]).where(F.col("m") >= F.greatest(F.lit(3), FREQUENT * F.col("n_load"))).drop("n_load")
+        cover = self.forms.select("col", "load", F.concat_ws(" ", F.lit("form"), F.coalesce(F.col("level").cast("string"), F.lit("none")), F.col("h").cast("string")).alias("metric"), F.col("n").alias("m"))
+        value = self.cells.where("h3 is not null").select("col", "load", F.concat(F.lit("value "), "value").alias("metric"), F.col("n").alias("m")).join(size, ["col", "load"]).where(F.col("m") >= F.greatest(F.lit(3), FREQUENT * F.col("n_load"))).drop("n_load")
         kept = cover.join(size, ["col", "load"]).groupBy("col", "metric").agg(F.max(F.col("m") / F.col("n_load")).alias("top")).where(F.col("top") >= FREQUENT).select("col", "metric")
         shares = share.unionByName(cover.join(kept, ["col", "metric"])).unionByName(value).join(size, ["col", "load"]).select("col", "load", "metric", (F.col("m") / F.col("n_load")).alias("x"), F.lit(True).alias("is_share"), "n_load")
-        full = self.cells.where("l3 is not null")
+        full = self.cells.where("h3 is not null")
         number = F.col("value").try_cast("double")
         # rounded logarithms take few values, so that exact percentiles need little memory however many values there are
-        logs = full.withColumn("len", F.round(F.log(F.length("value").cast("double")), 3)).withColumn("num", F.round(F.signum(number) * F.log1p(F.abs(number)), 3))
+        logs = full.withColumn("len", F.round(F.log(F.col("len").cast("double")), 3)).withColumn("num", F.round(F.signum(number) * F.log1p(F.abs(number)), 3))
         q = lambda c, p: F.percentile(c, F.lit(p), F.col("n"))
         per = logs.groupBy("col", "load").agg(*[q(c, p).alias(f"{c}{p}") for c in ("len", "num") for p in (0.1, 0.5, 0.9)])
         pairs = [x for c in ("len", "num") for p in (0.1, 0.5, 0.9) for x in (F.lit(f"{c} {p}"), F.col(f"`{c}{p}`"))]
         quant = per.select("col", "load", F.explode(F.create_map(*pairs)).alias("metric", "x")).where("x is not null").join(size, ["col", "load"]).select("col", "load", "metric", "x", F.lit(False).alias("is_share"), "n_load")
         return shares.unionByName(quant)
 
-    def odd_loads(self) -> DataFrame:
-        """(col, load, metric, x, usual, spreads): the loads that break with the rest, with every measure by which they do."""
+    def odd_loads(self, named: bool = True) -> DataFrame:
+        """(col, load, metric, x, usual, spreads): the loads that break with the rest, with every measure by which they do.
+
+        Unless `named`, expressions are called by level and hash instead of their text.
+        """
         metrics = shared_table(self._metrics(), "metrics")
         loads = sorted(r.load for r in self.cells.select("load").distinct().collect() if r.load is not None)
         none = metrics.select("col", "load", "metric", "x", F.lit(0.0).alias("usual"), F.lit(0.0).alias("spreads")).limit(0)
@@ -198,7 +244,15 @@ class Profile:
         spread = F.greatest(F.col("mad"), chance)
         off = F.abs(F.col("x") - F.col("usual"))
         least = F.when(F.col("is_share"), LEAST_SHARE).otherwise(LEAST_LOG)
-        return mad.where((off > SPREADS * spread) & (off > least)).select("col", "load", "metric", F.round("x", 6).alias("x"), F.round("usual", 6).alias("usual"), F.round(off / spread, 3).alias("spreads"))
+        odd = mad.where((off > SPREADS * spread) & (off > least)).select("col", "load", "metric", F.round("x", 6).alias("x"), F.round("usual", 6).alias("usual"), F.round(off / spread, 3).alias("spreads"))
+        if not named:
+            return odd
+        odd = shared_table(odd, "odd")
+        part = F.split("metric", " ")
+        form = F.col("metric").startswith("form ") & (F.col("metric") != "form none")
+        called = odd.withColumn("level", F.when(form, part[1].cast("int"))).withColumn("h", F.when(form, part[2].cast("bigint")))
+        got = called.join(self._texts(called), ["col", "level", "h"], "left")
+        return got.select("col", "load", F.coalesce(F.concat(F.lit("form "), "expression"), "metric").alias("metric"), "x", "usual", "spreads")
 
 
 def odd_points(df: DataFrame, at: str, value: str, around: int = 5, least: float = 0.1, spreads: float = 10.0) -> DataFrame:

@@ -14,7 +14,7 @@ LARGE = {"skillsmp": "load_no", "skillhub": "load_no", "repo_meta": None, "docum
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The loads and dates that break with the rest."""
     skills = Profile(table(spark, d, "skillsmp"), [("description", F.col("description")), ("stars", F.col("raw_metadata.stars").cast("string"))], F.col("load_no"))
-    loads = skills.odd_loads().select(F.lit("skillsmp").alias("tab"), "col", F.col("load").alias("load_key")).distinct()
+    loads = skills.odd_loads(named=False).select(F.lit("skillsmp").alias("tab"), "col", F.col("load").alias("load_key")).distinct()
     days = odd_points(table(spark, d, "release_log"), "date", "skill_count").select(F.lit("release_log").alias("tab"), F.lit("skill_count").alias("col"), F.col("date").alias("load_key")).distinct()
     return loads.unionByName(days)
 

@@ -278,6 +278,19 @@ def test_all_pages_set_the_thresholds_and_copies_count_once(spark, sf, monkeypat
     assert hot == one
 
 
+def test_all_clean_samples_train(spark):
+    many, rare = 40_000, ["qa", "qb", "qc", "qd", "qe", "qf"]
+    rows = [("xx", f"the number{i} is here") for i in range(many)] + [(k, f"{k}word row{i}") for k in rare for i in range(3)]
+    df = spark.createDataFrame(rows + rows[-50:] + [("xx", None), (None, "the")], "lang string, sample string").repartition(7)
+    m = spam.fit(df)
+    # of 40,018 samples each counts, and copies once: three make a function word of a small language
+    assert m.function == {"the", "number", "is", "here", "row"} | {f"{k}word" for k in rare}
+    at = lambda *c: int(m.clean.reshape((len(spam.CLASSES),) * 3)[c])
+    assert at(spam._B, spam._B, spam._F) == sum(-(-many // n) + len(rare) * -(-3 // n) for _, n in spam.SHAPES)
+    with pytest.raises(ValueError):
+        spam.fit(df.limit(0))
+
+
 def test_queries_are_registered():
     from marlstone.llm.queries import QUERIES
 

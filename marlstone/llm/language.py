@@ -17,7 +17,8 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,9 @@ LEVEL, PER_BEGINNING = 3, 6
 NARROW_BYTES, NARROW_SHARE = 5, 0.06
 #: What stands for the language of a sentence that no dictionary makes smaller than no dictionary does.
 NONE = "none"
+#: How many sentences are compressed by one language before the next: a few MB of texts and sizes.
+CHUNK_UNITS = 4_000
+_SIZE = itemgetter(0)
 
 # Usual names and three-letter codes of the languages.
 LABELS = {
@@ -59,10 +63,15 @@ def label_language(c: Column) -> Column:
 
 
 _TAG = re.compile(r"<[^<>]{0,400}>")
-_PHRASE = re.compile(r"`[^`\n]*`|\[[^\[\]\n]{0,200}\]|\([^()\n]{0,200}\)|\{[^{}\n]{0,200}\}|“[^”\n]{0,200}”|„[^“”\n]{0,200}[“”]|«[^»\n]{0,200}»|「[^」\n]{0,200}」|『[^』\n]{0,200}』|\"[^\"\n]{0,200}\"|https?://\S+|(?<!\S)--?[a-z][\w-]*")
+# every branch begins with a literal, so that the search passes over what can't begin a phrase; likewise with _ASCII_BREAK and blanks
+_PHRASE = re.compile(r"`[^`\n]*`|\[[^\[\]\n]{0,200}\]|\([^()\n]{0,200}\)|\{[^{}\n]{0,200}\}|“[^”\n]{0,200}”|„[^“”\n]{0,200}[“”]|«[^»\n]{0,200}»|「[^」\n]{0,200}」|『[^』\n]{0,200}』|\"[^\"\n]{0,200}\"|https?://\S+|-(?<!\S-)-?[a-z][\w-]*")
 _NOISE = re.compile("\u00e2\u20ac[\u2122\u201c\u201d\u0153\u00a6\u02dc]?s?|[\u00c2\u00c3\ufffd](?=\\s|$)|\u00c2(?=\u00a0)|[\u200b-\u200f\u2060\ufeff\u00ad*_#>]")
 _BREAK = re.compile(r"(?<=[.!?])\s+|(?<=[.!?。！？])(?=[ぁ-ヿ一-鿿가-힣])|(?<=[。！？])\s*|\s+[—–/|•·]\s+|\s{2,}|[\r\n]+|\s*[\U0001F000-\U0001FAFF\u2600-\u27BF\u2026]\uFE0F?\s*")
-_ASCII_BREAK = re.compile(r"(?<=[.!?])\s+|\s+[/|]\s+|\s{2,}|[\r\n]+")
+_ASCII_BREAK = re.compile(r"\s(?:(?<=[.!?]\s)\s*|\s*[/|]\s+|\s+|(?<=[\r\n]))")
+_LATIN_BREAK = re.compile(r"\s(?:(?<=[.!?]\s)\s*|\s*[—–/|•·]\s+|\s+|(?<=[\r\n]))")
+#: What isn't Latin, a blank or a usual mark: texts without it break at blanks only, and with a Latin letter they are Latin.
+_OTHER = re.compile("[^\x00-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-ɏ‐-‥‧‰-⁞]")
+_FOURTEEN = re.compile(r"[^\W\d_](?:[\W\d_]*[^\W\d_]){13}")
 #: Texts without these characters hold no phrase or noise to take out.
 _MARKS = re.compile(r"[`\[({\"\-*_#>]|http")
 _LETTERS = re.compile(r"[^\W\d_]")
@@ -77,24 +86,27 @@ def units(text: str) -> list[str]:
     if "<" in text:
         text = _TAG.sub(" ", text)
     plain = text.isascii()
-    if not plain or _MARKS.search(text):
+    if not plain:
         text = _PHRASE.sub(" ", _NOISE.sub("", text))
+    elif _MARKS.search(text):
+        for c in "*_#>":  # the noise that ASCII has
+            text = text.replace(c, "")
+        text = _PHRASE.sub(" ", text)
     out = []
-    for u in (_ASCII_BREAK if plain else _BREAK).split(text):
+    for u in (_ASCII_BREAK if plain else _BREAK if _OTHER.search(text) else _LATIN_BREAK).split(text):
         u = " ".join(u.split())
         if plain or u.isascii():
             if len(u) >= 17 and " " in u:
                 out.append(u)
             continue
-        n = len(_LETTERS.findall(u))
-        if n >= 14 and " " in u or n >= 5 and (_HAN.search(u) or _KANA.search(u) or _HANGUL.search(u)):
+        if " " in u and _FOURTEEN.search(u) or (_HAN.search(u) or _KANA.search(u) or _HANGUL.search(u)) and len(_LETTERS.findall(u)) >= 5:
             out.append(u)
     return out
 
 
 def candidates(unit: str, languages: list[str]) -> list[str]:
     """The languages whose script a unit is mostly written in; none for a script that none of the known ones is written in."""
-    if unit.isascii():
+    if unit.isascii() or _LATIN.search(unit) and not _OTHER.search(unit):
         return [x for x in languages if x not in ("ja", "zh", "ko", "ru")] or languages
     han, kana, hangul, cyrillic = (len(p.findall(unit)) for p in (_HAN, _KANA, _HANGUL, _CYRILLIC))
     latin = len(_LATIN.findall(unit))
@@ -128,6 +140,7 @@ class Judge:
         # only what the dictionaries hold is kept, which bounds what is sent to the executors
         self.texts = {k: _within(v, bound) for k, v in texts.items() if v}
         self.languages = sorted(self.texts)
+        self.latin = tuple(candidates("", self.languages))
         self.compress = {}
         self.plain = zs.ZstdCompressor(level=level, write_content_size=False, write_checksum=False).compress
         for k in self.languages:
@@ -137,31 +150,75 @@ class Judge:
             d.precompute_compress(level=level)
             self.compress[k] = zs.ZstdCompressor(dict_data=d, level=level, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-    def sizes(self, unit: str) -> list[tuple[int, str]]:
-        """(size, language), smallest first."""
-        some = candidates(unit, self.languages)
-        b = unit.lower().encode()
-        if not some:
-            return [(len(self.plain(b)), NONE)]
-        if len(some) == 1:
-            # against a language of the same script that isn't known: no dictionary at all, which has to win clearly
-            return sorted([(len(self.compress[some[0]](b)), some[0]), (len(self.plain(b)) + NARROW_BYTES, NONE)])
-        # of equal sizes Han characters alone are rather Chinese
-        return sorted(((len(self.compress[k](b)), k) for k in some), key=lambda x: (x[0], x[1] == "ja", x[1]))
+    def sizes(self, units: Iterable[str]) -> dict[str, list[tuple[int, str]]]:
+        """(size, language), smallest first, of each unit. A language compresses all units before the next does: its dictionary stays in the processor's cache."""
+        groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+        for u in dict.fromkeys(units):
+            groups[self.latin if u.isascii() else tuple(candidates(u, self.languages))].append(u)
+        got: dict[str, list[tuple[int, str]]] = {}
+        for some, us in groups.items():
+            bs = [u.lower().encode() for u in us]
+            columns = {k: [len(self.compress[k](b)) for b in bs] for k in some}
+            if len(some) < 2:
+                # against a language of the same script that isn't known: no dictionary at all, which has to win clearly
+                columns[NONE] = [len(self.plain(b)) + NARROW_BYTES * len(some) for b in bs]
+            # of equal sizes Han characters alone are rather Chinese
+            names = sorted(columns, key=lambda k: (k == "ja" and len(some) > 1, k))
+            for u, *ns in zip(us, *[columns[k] for k in names]):
+                got[u] = sorted(zip(ns, names), key=_SIZE)
+        return got
 
     def segments(self, text: str) -> list[tuple[str, float, str]]:
         """(language, confidence, words) of each segment, in reading order."""
-        us = units(text)
-        if not us:
-            us = [" ".join(_PHRASE.sub(" ", _NOISE.sub("", _TAG.sub(" ", html.unescape(text)))).split())]
-            if not _LETTERS.search(us[0]):
-                return []
-        judged = [self.sizes(u) for u in us]
-        close = [{k for n, k in z if n < z[0][0] + NARROW_BYTES or n < z[0][0] * (1 + NARROW_SHARE)} for z in judged]
-        lang: list[str | None] = [z[0][1] if len(c) == 1 else None for z, c in zip(judged, close)]
-        if not any(lang):
-            z = self.sizes(" ".join(us))
-            lang = [z[0][1] if z[0][1] in c else None for c in close]
+        return next(self.segments_of([text]))
+
+    def segments_of(self, texts: Iterable[str]) -> Iterator[list[tuple[str, float, str]]]:
+        """The segments of each text, in the order of the texts; they are judged together until they have CHUNK_UNITS sentences."""
+        chunk: list[list[str]] = []
+        n = 0
+        for t in texts:
+            chunk.append(us := _judged_units(t))
+            n += len(us) + 1
+            if n >= CHUNK_UNITS:
+                yield from self._chunk(chunk)
+                chunk, n = [], 0
+        yield from self._chunk(chunk)
+
+    def _chunk(self, chunk: list[list[str]]) -> Iterator[list[tuple[str, float, str]]]:
+        sizes = self.sizes(u for us in chunk for u in us)
+        judged = [[sizes[u] for u in us] for us in chunk]
+        lone = [[_clear(z) for z in zs] for zs in judged]
+        whole = [" ".join(us) if us and not any(lang) else None for us, lang in zip(chunk, lone)]
+        sizes.update(self.sizes(w for w in whole if w is not None and w not in sizes))
+        for us, zs, lang, w in zip(chunk, judged, lone, whole):
+            yield _joined(us, zs, lang, None if w is None else sizes[w])
+
+
+def _judged_units(text: str) -> list[str]:
+    """The sentences of a text; all its words if it has none, nothing if they have no letters."""
+    us = units(text)
+    if not us:
+        us = [" ".join(_PHRASE.sub(" ", _NOISE.sub("", _TAG.sub(" ", html.unescape(text)))).split())]
+        if not _LETTERS.search(us[0]):
+            return []
+    return us
+
+
+def _clear(z: list[tuple[int, str]]) -> str | None:
+    """The language of the smallest size if no other is close."""
+    return z[0][1] if len(z) == 1 or z[1][0] >= _bound(z) else None
+
+
+def _bound(z: list[tuple[int, str]]) -> float:
+    return max(z[0][0] + NARROW_BYTES, z[0][0] * (1 + NARROW_SHARE))
+
+
+def _joined(us: list[str], judged: list[list[tuple[int, str]]], lang: list[str | None], whole: list[tuple[int, str]] | None) -> list[tuple[str, float, str]]:
+    """Segments of a text's units; `lang` has their clear languages. whole: the sizes of the text, if none is clear."""
+    if None in lang:
+        close = [{k for n, k in z if n < _bound(z)} for z in judged]
+        if whole is not None:
+            lang = [whole[0][1] if whole[0][1] in c else None for c in close]
             if not any(lang):
                 lang[0] = judged[0][0][1]
         for order in (range(1, len(us)), range(len(us) - 2, -1, -1)):
@@ -170,17 +227,17 @@ class Judge:
                 near = lang[i - step]
                 if lang[i] is None and near is not None and near in close[i]:
                     lang[i] = near
-        out: list[tuple[str, float, str]] = []
-        for u, z, k in zip(us, judged, lang):
-            k = k or z[0][1]
-            mine = next(n for n, x in z if x == k)
-            other = min((n for n, x in z if x != k), default=None)
-            sure = 1.0 if other is None else max(0.0, min(1.0, 0.5 + (other - mine) / max(other, 1)))
-            if out and out[-1][0] == k:
-                out[-1] = (k, max(out[-1][1], sure), f"{out[-1][2]} {u}")
-            else:
-                out.append((k, sure, u))
-        return out
+    out: list[tuple[str, float, str]] = []
+    for u, z, k in zip(us, judged, lang):
+        k = k or z[0][1]
+        mine = next(n for n, x in z if x == k)
+        other = next((n for n, x in z if x != k), None)
+        sure = 1.0 if other is None else max(0.0, min(1.0, 0.5 + (other - mine) / max(other, 1)))
+        if out and out[-1][0] == k:
+            out[-1] = (k, max(out[-1][1], sure), f"{out[-1][2]} {u}")
+        else:
+            out.append((k, sure, u))
+    return out
 
 
 def fit(samples: DataFrame, labelled: DataFrame | None, lang: str, sample: str, label: str, text: str) -> Judge:
@@ -194,13 +251,15 @@ def fit(samples: DataFrame, labelled: DataFrame | None, lang: str, sample: str,
         return judge
     known = labelled.select(F.col(label).alias("k"), F.col(text).alias("t")).where(F.col("k").isin(judge.languages) & (F.length("t").between(20, 4000)))
     seen: dict[tuple[str, ...], list[tuple[str, str, bool]]] = defaultdict(list)
-    for r in hash_sample(known, LABELLED_ROWS, "t").collect():
-        for u in units(r.t):
-            sizes = {k: n for n, k in judge.sizes(u)}
+    rows = [(r.k, units(r.t)) for r in hash_sample(known, LABELLED_ROWS, "t").collect()]
+    sized = judge.sizes(u for _, us in rows for u in us)
+    for said, us in rows:
+        for u in us:
+            sizes = {k: n for n, k in sized[u]}
             best = min(sizes.values())
-            if sizes.get(r.k, 1 << 30) < best + 2 * NARROW_BYTES:
-                second = min((n for k, n in sizes.items() if k != r.k), default=1 << 30)
-                seen[tuple(u.lower().split()[:2])].append((r.k, u.lower(), sizes[r.k] + NARROW_BYTES <= second))
+            if sizes.get(said, 1 << 30) < best + 2 * NARROW_BYTES:
+                second = min((n for k, n in sizes.items() if k != said), default=1 << 30)
+                seen[tuple(u.lower().split()[:2])].append((said, u.lower(), sizes[said] + NARROW_BYTES <= second))
     # sentences that the clean samples can't tell apart follow the label that most sentences with their first two words bear
     sure: dict[str, list[str]] = defaultdict(list)
     for votes in seen.values():
@@ -239,8 +298,7 @@ def segment_languages(df: DataFrame, judge: Judge, id_col: str, text: str, decla
         own = Judge(shared.value)
         for b in batches:
             ids, said, out = [], [], []
-            for i, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                s = own.segments(t.as_py())
+            for i, k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), own.segments_of(t.as_py() for t in b.column(2))):
                 if len(s) > 1 or s and (keep_all or s[0][0] != k):
                     ids.append(i)
                     said.append(k)

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -211,6 +212,32 @@ def test_very_long_text(judge):
     assert [x[0] for x in got] == ["en", "de"]
 
 
+def test_texts_are_judged_together_and_alike(judge):
+    texts = [EN, DE, "", f"{EN} {DE}", ZH, EN, "中文工具", "a b", f"{DE}\n{EN}{ZH}{DE}", f"{EN} " * 50, "Привет, мир, мы сортируем карты", "Use it. Use it now"] * 400
+    calls, compress = [], dict(judge.compress)
+    try:
+        for k, f in compress.items():
+            judge.compress[k] = lambda b, k=k, f=f: (calls.append(k), f(b))[1]
+        got = list(judge.segments_of(texts))
+    finally:
+        judge.compress.update(compress)
+    # sentences that come again in a chunk are compressed once, and a language has its turn once a chunk and group
+    assert sum(a != b for a, b in zip(calls, calls[1:])) < 200 and len(calls) < 1000
+    assert got == [judge.segments(t) for t in texts[:12]] * 400
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Sort maps", ".", "!", " ", "  ", "\n", "\r", "\x1c", "\x85", "\xa0", "|", "/", "—", "•", "é", "Überschrift", "-x", "--y", "²", "µ", "…"]), max_size=40).map("".join))
+def test_quick_breaks_are_the_same(text):
+    whole = r"(?<=[.!?])\s+|\s+[{}]\s+|\s{{2,}}|[\r\n]+"
+    if text.isascii():
+        assert language._ASCII_BREAK.split(text) == re.split(whole.format("/|"), text)
+    if not language._OTHER.search(text):
+        assert language._LATIN_BREAK.split(text) == language._BREAK.split(text)
+    assert language._PHRASE.sub("", text) == re.sub(language._PHRASE.pattern.replace(r"-(?<!\S-)-?[a-z]", r"(?<!\S)--?[a-z]"), "", text)
+    assert bool(language._FOURTEEN.search(text)) == (len(language._LETTERS.findall(text)) >= 14)
+
+
 # --- stuffed pages ------------------------------------------------------------------------------------
 
 

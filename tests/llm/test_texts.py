@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -61,6 +62,41 @@ def test_words_join_to_the_text(text):
     assert b"".join(bpe.splitter()(text)) == text.encode()
 
 
+def test_words_of_parts_give_the_ids_of_the_text(reference):
+    merge, cuts, r = bpe._heap_merger("byte_bpe_50k", bpe.TOKENIZER_DIR), bpe._cuts("byte_bpe_50k", bpe.TOKENIZER_DIR), random.Random(3)
+    for _ in range(1000):
+        texts = ["".join(r.choices("abst'relvdm  \n\t\x1c\x85\xa0\u3000é中文。、12²٣😀-_\x00", k=r.randrange(30))) for _ in range(r.randrange(1, 4))]
+        parts = [(i, p) for i, t in enumerate(texts) for p in bpe._parts(t, r.randrange(1, 9))]
+        words, counts = bpe._split([p for _, p in parts], cuts)
+        got: list[list[int]] = [[] for _ in texts]
+        for i, w in zip(np.repeat([i for i, _ in parts], counts), words.to_pylist()):
+            got[i] += merge(w)
+        assert got == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_ids_of_texts_that_are_split_in_parts(spark, reference):
+    texts = ["it's  a line\n中文 é " * 40_000, "", "x" * 300 + " 'tis", None, "naïve, 'll\n\n" * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r.ids for r in bpe.encode(df).collect()}
+    assert len(texts[0]) > 2 * bpe.SPLIT_CHARS and got == {i: reference.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
+def test_words_of_any_script_cost_about_the_same():
+    r = random.Random(1)
+
+    def cost(chars: str) -> float:
+        text = " ".join("".join(r.choices(chars, k=r.randrange(2, 30))) for _ in range(10_000))
+        seconds = []
+        for _ in range(3):
+            split, began = bpe.splitter(), time.thread_time()
+            words = split(text)
+            seconds.append(time.thread_time() - began)
+        return min(seconds) / len(words)
+
+    cost("aé中")
+    assert cost("".join(map(chr, range(0x4E00, 0x5E00)))) < 10 * cost("abcdefghij")
+
+
 def test_heap_merges_like_the_fold(reference):
     merge = bpe._heap_merger("byte_bpe_50k", bpe.TOKENIZER_DIR)
     r = random.Random(1)

@@ -58,14 +58,51 @@ def exclude_seen(rows: DataFrame, seen: DataFrame, key: str, seen_repos: DataFra
 def match_by_name(rows: DataFrame, paths: DataFrame, by: str) -> DataFrame:
     """(rows..., path): the first path of the group whose parent folder equals, holds or is held by the name, squashed; else the first path (JN9).
 
-    Both sides are joined on the group, so only the paths of one repository are compared with its names. `paths` has `by`, pos and path.
+    `paths` has `by`, pos and path. Names and folders meet by the strings they hold, never as all pairs of a group: one repository may have a
+    tenth of all names and a tenth of all paths. A folder without letters and digits is held by every name, and a name without them by every folder.
     """
     folder = squash(F.coalesce(F.try_element_at(F.split("path", "/"), F.lit(-2)), F.lit("")))
-    got = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_n", squash(F.coalesce("name", F.lit("")))).join(paths.select(by, "pos", "path", folder.alias("_f")), by)
-    like = F.col("_n").contains(F.col("_f")) | F.col("_f").contains(F.col("_n"))
-    best = F.coalesce(F.min_by(F.when(like, F.col("path")), F.when(like, F.col("pos"))), F.min_by("path", "pos"))
-    keep = [c for c in rows.columns if c != by]
-    return got.groupBy("_row", by).agg(*[F.first(c).alias(c) for c in keep], best.alias("path")).drop("_row")
+    named = rows.withColumn("_n", squash(F.coalesce("name", F.lit(""))))
+    at = F.when(F.col("pos").isNotNull(), F.struct("pos", "path"))
+    # both written once: each is looked up in several ways, and what they are made from would be read again for every one
+    f = shared_table(paths.where(F.col(by).isNotNull()).groupBy(by, folder.alias("_f")).agg(F.min(at).alias("_at")), "folders")
+    of_paths = f.groupBy(by).agg(F.min("_at").alias("_first"), F.min(F.when(F.col("_f") == "", F.col("_at"))).alias("_any"), F.bit_or(_anchor("_f")).alias("_sizes"))
+    n = shared_table(named.where(F.col(by).isNotNull()).select(by, "_n").distinct().join(of_paths, by), "names")
+    folders = f.where("_f <> ''").join(n.groupBy(by).agg(F.bit_or(_anchor("_n")).alias("_sizes")), by)
+    in_names = _held(n.select(by, "_n", "_sizes"), "_n", f.where("_f <> ''"), "_f", by)
+    in_folders = _held(folders, "_f", n.where("_n <> ''").select(by, "_n"), "_n", by)
+    like = in_names.unionByName(in_folders).groupBy(by, "_n").agg(F.min("_at").alias("_like"))
+    alike = F.when(F.col("_n") == "", F.col("_first")).otherwise(F.least("_any", "_like"))
+    best = n.join(like, [by, "_n"], "left").select(by, "_n", F.coalesce(alike["path"], F.col("_first.path")).alias("path"))
+    return named.join(best, [by, "_n"]).select(by, *[c for c in rows.columns if c != by], "path")
+
+
+def _powers(text: str) -> Column:
+    """The powers of two that aren't above the length of `text`."""
+    return F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda p: p <= F.length(text))
+
+
+def _anchor(word: str) -> Column:
+    """The greatest power of two that isn't above the length of `word`; null for an empty one."""
+    return F.array_max(_powers(word))
+
+
+def _held(texts: DataFrame, text: str, words: DataFrame, word: str, by: str) -> DataFrame:
+    """(by, text, word, _at): every word with a text of the same `by` that holds it; `_at` comes from either side.
+
+    A text is looked up by its runs of as many characters as the anchors of its group have (`_sizes`, as bits), a word by its first ones. Where
+    they agree, what follows is cut to the lengths of the words that begin so, all below twice the anchor, and these cuts must equal a word.
+    Only that stretch travels with a run, and a hash for its text, so that a very long text isn't copied for each of its characters.
+    """
+    texts = texts.withColumn("_id", F.xxhash64(by, text))
+    size, start = F.col("_p"), F.col("_i")
+    runs = texts.withColumn("_p", F.explode(F.filter(_powers(text), lambda p: F.col("_sizes").bitwiseAND(p) != 0)))
+    runs = runs.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length(text) - size + 1)))
+    runs = runs.select(by, "_id", F.xxhash64(by, F.substring(text, start, size)).alias("_k"), F.substring(text, start, size + (size - 1)).alias("_part"))
+    begins = words.select(F.xxhash64(by, F.substring(word, F.lit(1), _anchor(word))).alias("_k"), F.length(word).alias("_len")).distinct()
+    cuts = runs.join(begins, "_k").where(F.col("_len") <= F.length("_part")).select(by, "_id", F.substring("_part", F.lit(1), F.col("_len")).alias(word))
+    found = cuts.join(words, [by, word]).join(texts.drop("_sizes"), [by, "_id"])
+    return found.where(F.col(text).contains(F.col(word))).select(by, text, word, "_at")  # equal hashes of differing texts do no harm
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -1,5 +1,10 @@
 """Merging, reports, increments, ranks."""
 
+import hashlib
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +143,47 @@ def test_names_match_folders(spark):
     assert {(r.name, r.path) for r in inc.match_by_name(rows, paths, "repo").collect()} == {("My Tool", "a/my-tool/SKILL.md"), ("zzz", "a/other/SKILL.md")}
 
 
+def test_names_and_folders_as_by_brute_force(spark):
+    rng = random.Random(7)
+    word = lambda most: "".join(rng.choice("aAb-B") for _ in range(rng.randint(0, most)))
+    groups = [None, "p", "q", "r", "only names"]
+    names = [(rng.choice(groups), rng.choice([None, "", "-", word(4), word(9), word(24)]), k) for k in range(150)]
+    names += names[:9] + [("r", "a" * 300 + "b", 150), ("r", "b" * 70, 151), ("none alike", "a", 152), ("long", "ab " * 20_000 + "Ba b", 153)]
+    paths = [(rng.choice([*groups[:4], "only paths"]), 200 - k, rng.choice([f"{word(9)}/SKILL.md", f"x/{word(3)}b{word(20)}/SKILL.md", f"y/{word(5)}b/z"])) for k in range(60)]
+    paths += [("r", 0, "a/" + "b" * 65 + "/SKILL.md"), ("r", 1, "c/" + "a" * 260 + "B/SKILL.md"), ("none alike", 5, "zz/SKILL.md"), ("none alike", 4, "yy/SKILL.md"), ("none alike", None, "a/SKILL.md"), ("q", 250, "SKILL.md"), ("long", 1, "bbb/SKILL.md"), ("long", 2, "ab-abb-ab/SKILL.md")]
+    plain = lambda x: re.sub("[^a-z0-9]", "", (x or "").lower())
+    want = []
+    for group, name, k in names:
+        own = sorted((pos, path) for by, pos, path in paths if by == group and group and pos is not None)
+        like = [path for _, path in own if (f := plain(["", *path.split("/")][-2])) in plain(name) or plain(name) in f]
+        want += [(group, name, k, (like or [path for _, path in own])[0])] if own else []
+    rows = spark.createDataFrame(names, "repo string, name string, k int")
+    got = inc.match_by_name(rows, spark.createDataFrame(paths, "repo string, pos int, path string"), "repo")
+    assert got.columns == ["repo", "name", "k", "path"]
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want) and len({r[3] for r in want}) > 10
+
+
+def test_names_of_one_repository_do_not_meet_all_its_paths(spark):
+    """A repository with a tenth of all names and paths must not be joined as all their pairs."""
+    code = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:14]
+    rows = spark.createDataFrame([("r", f"{code(i)} x") for i in range(1200)], "repo string, name string")
+    paths = spark.createDataFrame([("r", i, f"a/{code(i)}/SKILL.md") for i in range(600, 1800)], "repo string, pos int, path string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = {r.name: r.path for r in inc.match_by_name(rows, paths, "repo").collect()}
+    assert got == {f"{code(i)} x": f"a/{code(max(i, 600))}/SKILL.md" for i in range(1200)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    most, ran = 0, store.executionsList()
+    for k in range(before, ran.size()):
+        x = ran.apply(k).executionId()
+        values, nodes = store.executionMetrics(x), store.planGraph(x).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if m.name() == "number of output rows" and (v := values.get(m.accumulatorId())).isDefined():
+                    most = max(most, int(v.get().replace(",", "")))
+    assert 1200 <= most < 40_000
+
+
 def test_release_deltas(spark):
     log = spark.createDataFrame([("d2", 5), ("d1", 3), ("d3", None), ("d4", 4), ("d2", 5)], "date string, skill_count bigint")
     assert [(r.date, r.delta) for r in inc.release_deltas(log).orderBy("date").collect()] == [("d1", None), ("d2", 2), ("d3", None), ("d4", -1)]
